@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, rules, sharding, warc
+from . import linededup, packing, rules, sharding, simhash, substrings, warc
 from .shared import read
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return the passages of all documents that occur earlier, one row each."""
+    found = substrings.repeated_spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages; return the index."""
     return warc.write_warc(read(spark, sf_dir, "pages"))
@@ -20,6 +27,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return the groups of near duplicates among all documents."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return all documents' texts without later repeated runs of lines."""
+    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assign all documents to shards."""
     return sharding.shard(read(spark, sf_dir, "documents"))
@@ -31,9 +48,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op9_sharding": sharding.ORACLE, "op10_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE, "op9_sharding": sharding.ORACLE, "op10_quality_rules": rules.ORACLE}
