@@ -11,33 +11,35 @@ from pyspark.sql import functions as F
 
 from .shared import mix, settled, slices, text_bytes, words
 
-#: Blocks of a fingerprint; each is 32 bits, and a pair meets if it's within RADIUS in any block.
-BLOCKS = 6
-#: Bits in which two blocks may differ. Every block emits all its variants within half of that: 33.
+#: Bits of a fingerprint, of which BLOCKS * BITS are in blocks; a pair meets if it's within RADIUS in any block.
+SIZE, BLOCKS, BITS = 384, 10, 36
+#: Bits in which two blocks may differ. Every block emits all its variants within half of that: 37.
 RADIUS = 2
-#: Bits, of all BLOCKS * 32, in which near duplicates may differ: 17 %, an angle of 31 degrees.
-DISTANCE = 33
+#: Bits, of all SIZE, in which near duplicates may differ: 17 %, an angle of 30 degrees.
+DISTANCE = 65
 
-_PLANES = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(BLOCKS // 2)]
+_WIDTH = SIZE // 64
+_CODES = [f"c{k}" for k in range(_WIDTH)]
+_PLANES = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(_WIDTH)]
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    """Return for each word hash its 192 signs, as -1 and 1."""
+    """Return for each word hash its signs, as -1 and 1."""
     parts = np.stack([mix(hashes + plane) for plane in _PLANES], axis=1)
     bits = np.unpackbits(parts.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
     return bits.astype(np.float32) * 2 - 1
 
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Return each text's fingerprint, as three 64-bit values, and its number of words.
+    """Return each text's fingerprint, as 64-bit values, and its number of words.
 
     A feature is a word without regard to case, weighted by the square root of
     its count, so the few frequent words don't decide alone.
     """
     _, _, hashes, bounds = words(raw, offsets)
-    codes = np.zeros((len(offsets) - 1, BLOCKS // 2), np.uint64)
+    codes = np.zeros((len(offsets) - 1, _WIDTH), np.uint64)
     vocabulary, index = np.unique(hashes, return_inverse=True)
-    signs = _signs(vocabulary) if len(vocabulary) else np.zeros((0, BLOCKS * 32), np.float32)
+    signs = _signs(vocabulary) if len(vocabulary) else np.zeros((0, SIZE), np.float32)
     for i in range(len(codes)):
         own = index[bounds[i] : bounds[i + 1]]
         if len(own):
@@ -48,30 +50,36 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Return ``(doc_id, c0, c1, c2)`` for each row with a key and at least one word."""
+    """Return ``(doc_id, c0, c1, ...)`` for each row with a key and at least one word."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             codes, n = fingerprints(*text_bytes(batch.column(1)))
             some = n > 0
-            columns = [batch.column(0).filter(pa.array(some)), *(pa.array(np.ascontiguousarray(codes[some, k]).view(np.int64)) for k in range(BLOCKS // 2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "c0", "c1", "c2"])
+            columns = [batch.column(0).filter(pa.array(some)), *(pa.array(np.ascontiguousarray(codes[some, k]).view(np.int64)) for k in range(_WIDTH))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_CODES])
 
-    return rows.mapInArrow(run, "doc_id long, c0 long, c1 long, c2 long")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _CODES))
+
+
+def blocks(codes: np.ndarray) -> np.ndarray:
+    """Return the blocks of fingerprints as numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
+    return bits[:, : BLOCKS * BITS].reshape(len(codes), BLOCKS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
 
 
 def _variants(codes: DataFrame) -> DataFrame:
     """Return ``(bucket, id)`` for all variants within half the radius of all blocks."""
-    flips = np.array([0, *(1 << i for i in range(32))], np.int64)
-    tags = np.arange(BLOCKS, dtype=np.int64) << 32
+    flips = np.array([0, *(1 << i for i in range(BITS))], np.int64)
+    tags = np.arange(BLOCKS, dtype=np.int64) << BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                cs = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint32).astype(np.int64)
-                buckets = (cs[:, :, None] ^ flips) | tags[None, :, None]
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                own = blocks(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)) | tags
+                buckets = own[:, :, None] ^ flips
                 ids = np.repeat(batch.column(0).to_numpy(), BLOCKS * len(flips))
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1)), pa.array(ids)], names=["bucket", "id"])
 
@@ -108,7 +116,7 @@ def _verified(groups: DataFrame, distance: int) -> DataFrame:
             edges = []
             for row in batch.column(0):
                 members = row.values
-                ids, *cs = (members.field(k).to_numpy() for k in range(BLOCKS // 2 + 1))
+                ids, *cs = (members.field(k).to_numpy() for k in range(_WIDTH + 1))
                 edges += _forest(np.stack(cs, axis=1).view(np.uint64), ids, distance)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -142,13 +150,14 @@ def components(edges: DataFrame, what: str = "stars") -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Return ``(doc_id, group_id)`` for each document that has near duplicates; ``group_id`` is the group's least key.
 
-    Two documents are near duplicates if their 192-bit SimHashes differ in at
-    most ``distance`` bits and, in one of six 32-bit blocks, in at most two (a
-    pair of documents a tenth of whose words differ does so with a probability
-    of about 0.97). Groups are what chains of such pairs connect.
+    Two documents are near duplicates if their 384-bit SimHashes differ in at
+    most ``distance`` bits and, in one of ten 36-bit blocks, in at most two (a
+    pair whose bits differ with a probability of 0.06 does so in 99.9 of 100
+    cases; at 0.1, as where one word in 20 of a text without frequent words was
+    replaced, in 96). Groups are what chains of such pairs connect.
 
     Equal fingerprints are one code from here on, whatever the number of copies.
-    Each block of a code emits the 33 variants within one bit; two blocks within
+    Each block of a code emits the 37 variants within one bit; two blocks within
     two bits have a variant in common. Variants are shuffled together; buckets
     with several codes are compared on whole fingerprints, equal buckets once,
     and give a spanning forest instead of all pairs, so the result grows with
@@ -160,12 +169,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     table gives an empty result; other columns don't matter.
     """
     prints = settled(fingerprint(docs, text, key).distinct(), "simhash")
-    codes = settled(prints.groupBy("c0", "c1", "c2").agg(F.min("doc_id").alias("first")).select(F.xxhash64("c0", "c1", "c2").alias("id"), "c0", "c1", "c2", "first"), "codes")
-    buckets = _variants(codes.select("id", "c0", "c1", "c2")).groupBy("bucket").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")
-    groups = buckets.select(F.sort_array("ids").alias("ids")).distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id"))
-    members = groups.join(codes, "id").groupBy("group").agg(F.collect_list(F.struct("id", "c0", "c1", "c2")).alias("members"))
-    linked = components(_verified(members, distance), "stars").select("id", "root")
-    placed = prints.select("doc_id", F.xxhash64("c0", "c1", "c2").alias("id")).join(linked, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    codes = settled(prints.select(*_CODES).distinct().withColumn("id", F.monotonically_increasing_id()), "codes")  # numbered once, as it's written
+    counted = _variants(codes.select("id", *_CODES)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+    buckets = counted.groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    groups = buckets.select("ids").distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id"))
+    members = groups.join(codes, "id").groupBy("group").agg(F.collect_list(F.struct("id", *_CODES)).alias("members"))
+    linked = components(_verified(members, distance), "stars")
+    placed = prints.join(codes, _CODES).join(linked, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     keyed = settled(placed.distinct(), "placed")
     # keys whose texts have several codes connect these
     split = keyed.groupBy("doc_id").agg(F.min("root").alias("a"), F.collect_set("root").alias("roots")).where("size(roots) > 1").select("a", F.explode("roots").alias("b"))
