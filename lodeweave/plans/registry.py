@@ -5,6 +5,513 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeweave.functions import ids, paths, text
+from lodeweave.operators import abruns, annotations, graph, imports, locate, normalize, resolve, search, snapshots
+from lodeweave.plans import projections as P
+from lodeweave.sources import ignore
+from lodeweave.storage import read, settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.outcomes(P.symbols(spark, sf_dir), P.calls(spark, sf_dir), P.aliases(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.edges_of(_outcomes(spark, sf_dir))
+
+
+# --- Resolution -------------------------------------------------------------
+
+
+@query(f"WITH {P.EDGES_SQL} SELECT src, dst, confidence FROM edges")
+def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call graph of parts."""
+    return _edges(spark, sf_dir)
+
+
+@query(f"WITH {P.OUTCOMES_SQL} SELECT coalesce(tier, 'none') AS tier, dst IS NULL AS ambiguous, count(*) AS calls FROM outcomes GROUP BY ALL")
+def resolve_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tier decides calls, and how many are ambiguous."""
+    return _outcomes(spark, sf_dir).groupBy(F.coalesce("tier", F.lit("none")).alias("tier"), F.col("dst").isNull().alias("ambiguous")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query(f"WITH {P.EDGES_SQL} SELECT s.id, s.name, s.file, count(*) AS callers, count(*) FILTER (WHERE confidence = 'resolved') AS sure FROM edges JOIN symbols s ON s.id = dst GROUP BY ALL")
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many symbols call each symbol."""
+    edges, known = _edges(spark, sf_dir), P.symbols(spark, sf_dir)
+    counts = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"), F.count_if(F.col("confidence") == "resolved").alias("sure"))
+    return counts.join(known, "id").select("id", "name", "file", "callers", "sure")
+
+
+_MOST = "SELECT src AS id FROM edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 1"
+
+
+def _busiest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("src").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
+
+
+@query(f"WITH {P.EDGES_SQL}, q AS ({_MOST}) SELECT s.id, s.name, s.file, s.line, e.confidence FROM edges e JOIN q ON e.dst = q.id JOIN symbols s ON s.id = e.src")
+def callers_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The callers of the symbol that calls most others."""
+    edges = settled(_edges(spark, sf_dir), "edges")
+    return graph.neighbours(edges, _busiest(edges), P.symbols(spark, sf_dir), True).select(F.col("src").alias("id"), "name", "file", "line", "confidence")
+
+
+@query(f"WITH {P.EDGES_SQL}, q AS ({_MOST}) SELECT s.id, s.name, s.file, s.line, e.confidence FROM edges e JOIN q ON e.src = q.id JOIN symbols s ON s.id = e.dst")
+def callees_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the symbol that calls most others calls."""
+    edges = settled(_edges(spark, sf_dir), "edges")
+    return graph.neighbours(edges, _busiest(edges), P.symbols(spark, sf_dir), False).select(F.col("dst").alias("id"), "name", "file", "line", "confidence")
+
+
+@query(f"""WITH {P.EDGES_SQL}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS out_edges FROM edges GROUP BY ALL), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS in_edges FROM edges GROUP BY ALL)
+SELECT id, coalesce(out_edges, '') AS out_edges, coalesce(in_edges, '') AS in_edges FROM o FULL JOIN i USING (id)""")
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges out and in, as text."""
+    near = graph.adjacency(_edges(spark, sf_dir))
+    return near.select("id", F.array_join("out_edges", ",").alias("out_edges"), F.array_join("in_edges", ",").alias("in_edges"))
+
+
+@query(f"WITH {P.EDGES_SQL} SELECT src, string_agg(dst || '{{' || confidence || '}}', ', ' ORDER BY dst || '{{' || confidence || '}}') AS targets FROM edges GROUP BY src")
+def render_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as text with confidences."""
+    return graph.rendered(_edges(spark, sf_dir))
+
+
+@query(f"WITH {P.EDGES_SQL} SELECT a.file AS src_file, b.file AS dst_file, count(*) AS n FROM edges JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE a.file <> b.file GROUP BY ALL")
+def file_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files call which others, and how often."""
+    return graph.file_dependencies(_edges(spark, sf_dir), P.symbols(spark, sf_dir))
+
+
+@query(f"WITH {P.SYMBOLS_SQL} SELECT file, count(*) AS symbols, count(*) FILTER (WHERE kind = 'method') AS methods, count(DISTINCT module) AS modules FROM symbols GROUP BY file")
+def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of each file."""
+    return P.symbols(spark, sf_dir).groupBy("file").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("kind") == "method").alias("methods"), F.count_distinct("module").alias("modules"))
+
+
+@query(f"WITH {P.EDGES_SQL} SELECT (SELECT count(DISTINCT file) FROM symbols) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges")
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an export."""
+    known = P.symbols(spark, sf_dir).agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("symbols"))
+    return known.crossJoin(_edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges")))
+
+
+@query(f"""WITH {P.EDGES_SQL}, truth AS (SELECT DISTINCT src, nxt AS dst FROM lines WHERE nxt IS NOT NULL AND src <> nxt),
+c AS (SELECT count(*) FILTER (WHERE e.src IS NOT NULL AND t.src IS NOT NULL) AS true_positives, count(e.src) AS found, count(t.src) AS expected FROM edges e FULL JOIN truth t ON e.src = t.src AND e.dst = t.dst)
+SELECT true_positives, found, expected, round(true_positives / found, 9) AS precision, round(true_positives / expected, 9) AS recall FROM c""")
+def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved edges against the lines' true successors."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    truth = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(order).cast("string").alias("dst")).where("dst is not null and src <> dst")
+    got = graph.quality(_edges(spark, sf_dir), truth)
+    return got.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
+# --- Iterative graph operators ----------------------------------------------
+
+
+def _pagerank_sql(nodes: str, edges: str, rounds: int = graph.ITERATIONS) -> str:
+    """Return CTEs ``pr0`` to ``pr<rounds>`` over CTEs of nodes and edges."""
+    out = [f"deg AS MATERIALIZED (SELECT src, count(*) AS d FROM {edges} GROUP BY src)", f"pr0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM {nodes}) AS r FROM {nodes})"]
+    for k in range(rounds):
+        out.append(
+            f"pr{k + 1} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT count(*) FROM {nodes}) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM pr{k} WHERE id NOT IN (SELECT src FROM deg)) / (SELECT count(*) FROM {nodes}) + 0.85::DOUBLE * coalesce(x.s, 0) AS r"
+            f" FROM {nodes} v LEFT JOIN (SELECT e.dst, sum(p.r / deg.d) AS s FROM {edges} e JOIN pr{k} p ON p.id = e.src JOIN deg ON deg.src = e.src GROUP BY e.dst) x ON x.dst = v.id)"
+        )
+    return ",\n".join(out)
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e),
+{_pagerank_sql('v', 'e')} SELECT id, round(r, 12) AS rank FROM pr20""")
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of orders and parts, of which parts have no edge out."""
+    return graph.pagerank(P.plain_nodes(spark, sf_dir), P.plain_edges(spark, sf_dir)).select("id", F.round("rank", 12).alias("rank"))
+
+
+@query(f"WITH {P.EDGES_SQL},\n{_pagerank_sql('symbols', 'edges')} SELECT s.id, s.name, round(r, 12) AS rank FROM pr20 JOIN symbols s ON s.id = pr20.id ORDER BY round(r, 12) DESC, s.id LIMIT 20")
+def top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 symbols of greatest importance."""
+    known = P.symbols(spark, sf_dir)
+    ranks = graph.pagerank(known, settled(_edges(spark, sf_dir), "edges")).withColumn("rank", F.round("rank", 12))
+    return graph.top_nodes(ranks).join(known.select("id", "name"), "id").select("id", "name", "rank")
+
+
+@query(f"""WITH RECURSIVE {P.EDGES_SQL}, q AS ({_MOST}), walk AS (SELECT id, 0 AS depth FROM q UNION SELECT e.dst, depth + 1 FROM walk JOIN edges e ON e.src = walk.id WHERE depth < 2),
+near AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id) SELECT e.src, e.dst, e.confidence, CAST(n.depth + 1 AS INTEGER) AS depth FROM edges e JOIN near n ON n.id = e.src""")
+def trace_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls up to three steps from the symbol that calls most others."""
+    edges = settled(_edges(spark, sf_dir), "edges")
+    return graph.trace(edges, _busiest(edges), 3)
+
+
+_PATH_LEVELS = 12
+_PATH_SQL = ",\n".join(
+    f"l{k + 1} AS MATERIALIZED (SELECT e.dst AS id, min(list_append(l.path, e.dst)) AS path FROM l{k} l JOIN edges e ON e.src = l.id WHERE e.dst NOT IN ({' UNION ALL '.join(f'SELECT id FROM l{j}' for j in range(k + 1))}) GROUP BY e.dst)" for k in range(_PATH_LEVELS)
+)
+
+
+@query(f"""WITH {P.EDGES_SQL}, q AS ({_MOST}), goal AS (SELECT max(dst) AS id FROM edges), l0 AS MATERIALIZED (SELECT id, [id] AS path FROM q),
+{_PATH_SQL}, best AS (SELECT path FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(_PATH_LEVELS + 1))}) WHERE id = (SELECT id FROM goal)),
+steps AS (SELECT unnest(range(1, len(path))) AS pos, path FROM best)
+SELECT CAST(pos AS INTEGER) AS pos, path[pos] AS src, path[pos + 1] AS dst, e.confidence FROM steps JOIN edges e ON e.src = path[pos] AND e.dst = path[pos + 1]""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest chain of calls from the symbol that calls most others to the called one of greatest id."""
+    edges = settled(_edges(spark, sf_dir), "edges")
+    start, goal = _busiest(edges).first(), edges.agg(F.max("dst")).first()[0]
+    return graph.path_edges(edges, (graph.shortest_path(edges, start[0], goal) or []) if start else [])
+
+
+@query(f"""WITH RECURSIVE {P.GEOGRAPHY_SQL}, walk AS (SELECT path FROM snap WHERE path IN (SELECT 'r' || r_regionkey FROM region WHERE r_name = 'ASIA') UNION SELECT d.path FROM walk JOIN deps d ON d.dep = walk.path) SELECT path FROM walk""")
+def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that depends on a region."""
+    seeds = read(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.concat(F.lit("r"), "r_regionkey").alias("path"))
+    return snapshots.closure(P.geography(spark, sf_dir), seeds)
+
+
+_SEEDS = "changed AS (SELECT 's' || s_suppkey AS path FROM supplier WHERE s_nationkey IN (3, 7) UNION SELECT 'r' || r_regionkey FROM region WHERE r_name = 'ASIA'), gone AS (SELECT 'n' || n_nationkey AS path FROM nation WHERE n_name = 'NATION_1')"
+
+
+@query(f"""WITH RECURSIVE {P.GEOGRAPHY_SQL}, {_SEEDS}, walk AS (SELECT path FROM changed UNION SELECT path FROM gone UNION SELECT d.path FROM walk JOIN deps d ON d.dep = walk.path), reached AS (SELECT DISTINCT path FROM walk),
+syms AS (SELECT 's' || s_suppkey AS path, 'supply_' || s_nationkey AS name FROM supplier), names AS (SELECT DISTINCT name FROM syms WHERE path IN (SELECT path FROM changed)),
+calls AS (SELECT 'c' || o_custkey AS path, o_orderkey AS a, l_linenumber AS b, 'supply_' || s_nationkey AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey),
+firsts AS (SELECT path, name FROM (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY a, b, name) AS k FROM calls WHERE name IN (SELECT name FROM names) AND path NOT IN (SELECT path FROM reached)) WHERE k = 1),
+why AS (SELECT path, 'changed' AS reason FROM changed UNION SELECT path, 'deleted' FROM gone UNION SELECT d.path, 'depends on ' || d.dep FROM deps d JOIN reached ON d.dep = reached.path UNION SELECT path, 'calls changed symbol ' || name FROM firsts)
+SELECT path, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM why GROUP BY path""")
+def impact_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes of suppliers, a region and a nation affect, and why."""
+    suppliers = read(spark, sf_dir, "supplier")
+    path, name = F.concat(F.lit("s"), "s_suppkey").alias("path"), F.concat(F.lit("supply_"), "s_nationkey").alias("name")
+    region = read(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.concat(F.lit("r"), "r_regionkey").alias("path"))
+    changed = suppliers.where("s_nationkey in (3, 7)").select(path).unionByName(region)
+    deleted = read(spark, sf_dir, "nation").where("n_name = 'NATION_1'").select(F.concat(F.lit("n"), "n_nationkey").alias("path"))
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    calls = lines.select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.col("o_orderkey").alias("sym_pos"), F.struct("l_linenumber", name).alias("call_pos"), name)
+    got = snapshots.impact(P.geography(spark, sf_dir), suppliers.select(path, name), calls, changed, deleted)
+    return got.select("path", F.array_join("reasons", "; ").alias("reasons"))
+
+
+# --- Search -----------------------------------------------------------------
+
+_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9_]+')".format
+_BM25 = """df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(length) AS avgdl FROM len WHERE length > 0),
+asked AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM q)),
+score AS (SELECT query_id, tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))) AS score FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN len ON len.id = tf.id, st GROUP BY ALL)"""
+_DOCS_SQL = f"""tf AS (SELECT id, term, sum(w) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS("text")}) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest({_TOKENS("source")}), 2 FROM documents) GROUP BY ALL), len AS (SELECT id, sum(tf) AS length FROM tf GROUP BY id)"""
+_PARTS_SQL = f"""tf AS (SELECT id, term, sum(w) AS tf FROM (SELECT id, unnest({_TOKENS("name")}) AS term, 4 AS w FROM symbols UNION ALL SELECT id, unnest({_TOKENS("signature")}), 2 FROM symbols UNION ALL SELECT id, unnest({_TOKENS("file")}), 2 FROM symbols UNION ALL SELECT id, unnest({_TOKENS("doc")}), 1 FROM symbols) GROUP BY ALL), len AS (SELECT id, sum(tf) AS length FROM tf GROUP BY id)"""
+_TYPO_SQL = """squeezed AS (SELECT id, array_to_string(regexp_extract_all(lower(name), '[a-z0-9_]+'), '') AS candidate FROM symbols), needles AS (SELECT query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), '') AS needle FROM {}),
+close AS (SELECT query_id, id, levenshtein(needle, candidate) AS distance, greatest(2, length(candidate) // 3) AS most FROM needles, squeezed WHERE needle <> '' AND candidate <> '')""".format
+
+
+def _doc_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("doc"))
+    return search.build(docs)
+
+
+@query(f"""WITH {_DOCS_SQL}, q AS (SELECT item_id AS query_id, text FROM benchmark), {_BM25}
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM score) WHERE place <= 10""")
+def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark text."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25(_doc_index(spark, sf_dir), queries).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_DOCS_SQL}, q AS (SELECT 0 AS query_id, 'the action of src1' AS text), {_BM25} SELECT id, round(score, 6) AS score FROM score ORDER BY round(score, 9) DESC, id LIMIT 10""")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for one query."""
+    queries = spark.range(1).select(F.col("id").alias("query_id"), F.lit("the action of src1").alias("text"))
+    return search.bm25(_doc_index(spark, sf_dir), queries).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_DOCS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY term")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and weight of each term."""
+    return _doc_index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {_DOCS_SQL} SELECT count(*) AS n, round(avg(length), 6) AS avgdl FROM len")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and mean length of indexed documents."""
+    return _doc_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+_ASKED = [("exact", "red widget_28"), ("words", "economy ring"), ("typo", "smaal rnig_11"), ("near", "RedWidgit_3"), ("nothing", "zzzzzzzzzzzzzzzzzzzz"), ("blank", " - ")]
+_ASKED_SQL = "asked_for(query_id, text) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ASKED) + ")"
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_ASKED, "query_id string, text string")
+
+
+@query(f"""WITH {P.SYMBOLS_SQL}, {_ASKED_SQL}, {_PARTS_SQL}, q AS (SELECT * FROM asked_for), {_BM25}, {_TYPO_SQL("asked_for")},
+found AS (SELECT query_id, id, score FROM score UNION ALL SELECT query_id, id, 1.0 / (1 + distance) FROM close WHERE distance <= most AND query_id NOT IN (SELECT query_id FROM score))
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM found) WHERE place <= 10""")
+def symbol_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol search with typo fallback."""
+    return search.search(search.build(P.symbols(spark, sf_dir)), _asked(spark)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {P.SYMBOLS_SQL}, wanted AS (SELECT 's' || s_suppkey AS query_id, 'red widget_' || s_suppkey % 50 AS text FROM supplier), {_TYPO_SQL("wanted")}
+SELECT query_id, id, round(1.0 / (1 + distance), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM close WHERE distance <= most) WHERE place <= 10""")
+def typo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest names for many names."""
+    wanted = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("query_id"), F.concat(F.lit("red widget_"), F.col("s_suppkey") % 50).alias("text"))
+    return search.typos(search.build(P.symbols(spark, sf_dir)), wanted).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {P.SYMBOLS_SQL}, hit AS (SELECT * FROM symbols WHERE id = '12'), named AS (SELECT * FROM symbols WHERE name = '12') SELECT id, name, kind, signature, file, line FROM (SELECT * FROM hit UNION ALL SELECT * FROM named WHERE NOT EXISTS (SELECT 1 FROM hit))")
+def symbol_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A symbol by id, or else by name."""
+    from lodeweave.plans.engine import exact
+
+    return exact(P.symbols(spark, sf_dir), "12").select("id", "name", "kind", "signature", "file", "line")
+
+
+# --- Locations --------------------------------------------------------------
+
+
+@query(f"""WITH {P.SYMBOLS_SQL}, places AS (SELECT l_orderkey, l_linenumber, l_suppkey, s.file, CAST(s.line + l_quantity AS INTEGER) AS line FROM lineitem JOIN symbols s ON s.id = CAST(l_partkey AS VARCHAR)),
+asked AS (SELECT DISTINCT file, line FROM places), hit AS (SELECT a.file, a.line, s.id AS found, s.line AS found_at FROM asked a ASOF LEFT JOIN symbols s ON a.file = s.file AND a.line >= s.line)
+SELECT p.l_orderkey, p.l_linenumber, p.l_suppkey, p.file, p.line, h.found, h.found_at FROM places p JOIN hit h ON h.file = p.file AND h.line = p.line""")
+def asof_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest symbol at or before many places."""
+    known = P.symbols(spark, sf_dir)
+    places = read(spark, sf_dir, "lineitem").join(known.select(F.col("line").cast("long").alias("l_partkey"), "file", "line"), "l_partkey").select("l_orderkey", "l_linenumber", "l_suppkey", "file", (F.col("line") + F.col("l_quantity")).cast("int").alias("line"))
+    return locate.as_of(places, known).select("l_orderkey", "l_linenumber", "l_suppkey", "file", "line", "found", "found_at")
+
+
+@query("""SELECT p.event_id, (SELECT max(c.event_id) FROM events c WHERE c.user_id = p.user_id AND c.event_type = 'click' AND c.ts = (SELECT max(d.ts) FROM events d WHERE d.user_id = p.user_id AND d.event_type = 'click' AND d.ts <= p.ts)) AS click FROM events p WHERE p.event_type = 'purchase'""")
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest click before each purchase."""
+    events = read(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", (-F.col("event_id")).alias("id"))  # of clicks at one time the later
+    return locate.as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts").select("event_id", (-F.col("found")).alias("click"))
+
+
+# --- Snapshots --------------------------------------------------------------
+
+
+@query(f"WITH {P.SNAPSHOTS_SQL} SELECT path, change FROM diff WHERE change IS NOT NULL")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that were added, changed or deleted between two snapshots."""
+    return snapshots.difference(*P.snapshots(spark, sf_dir))
+
+
+@query(f"""WITH {P.SNAPSHOTS_SQL} SELECT path, hash, array_to_string(deps, ',') AS deps FROM old WHERE path NOT IN (SELECT path FROM diff WHERE change IS NOT NULL)
+UNION ALL SELECT c.path, c.hash, '' FROM cur c JOIN diff d ON d.path = c.path WHERE d.change IN ('added', 'changed')""")
+def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old snapshot with changes applied."""
+    old, new = P.snapshots(spark, sf_dir)
+    change = settled(snapshots.difference(old, new), "change")
+    parsed = new.join(change.where("change <> 'deleted'"), "path", "left_semi")
+    return snapshots.merge(old, parsed, change.where("change = 'deleted'")).withColumn("deps", F.array_join("deps", ","))
+
+
+@query(f"WITH {P.SNAPSHOTS_SQL} SELECT count(*) FILTER (WHERE change IS NOT NULL) AS rewritten FROM diff")
+def rewritten_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many hashes differ."""
+    return snapshots.rewritten(*P.snapshots(spark, sf_dir))
+
+
+# --- Annotations ------------------------------------------------------------
+
+
+@query(f"WITH {P.ANNOTATIONS_SQL} SELECT cache_key, symbol_id, profile, line FROM loaded")
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record for each key."""
+    return annotations.loaded(P.annotations(spark, sf_dir)).select("cache_key", "symbol_id", "profile", "line")
+
+
+@query(f"""WITH {P.ANNOTATIONS_SQL}, fresh AS (SELECT symbol_id, profile, cache_key, generated_at, line FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id, profile ORDER BY line DESC) AS k FROM ann) WHERE k = 1 AND profile IN ('click', 'view')),
+kept AS (SELECT symbol_id, profile, cache_key, generated_at, line FROM loaded l WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.symbol_id = l.symbol_id AND f.profile = l.profile) AND cache_key NOT IN (SELECT cache_key FROM fresh))
+SELECT * FROM kept UNION ALL SELECT f.symbol_id, f.profile, f.cache_key, coalesce(l.generated_at, f.generated_at), f.line FROM fresh f LEFT JOIN loaded l ON l.cache_key = f.cache_key""")
+def enrich_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert of the last click and view of each user into the cache of all."""
+    every = P.annotations(spark, sf_dir)
+    cache = annotations.loaded(every).select("symbol_id", "profile", "cache_key", "generated_at", "line")
+    last = annotations.latest(every.where("profile in ('click', 'view')"), ["symbol_id", "profile"], F.col("line"), "line").select("symbol_id", "profile", "cache_key", "generated_at", "line")
+    return annotations.upsert(cache, last)
+
+
+@query(f"WITH {P.ANNOTATIONS_SQL} SELECT line, cache_key FROM ann")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of annotations."""
+    return P.annotations(spark, sf_dir).select("line", "cache_key")
+
+
+_SELECTORS = (" ./BRAND#7 ", "brand#3:red widget_7", "brand#12:12", "12", "#21", "gear", "brand#19:5:none")
+_NORM = "lower(regexp_replace(trim(w), '^\\./', ''))"
+
+
+@query(f"""WITH {P.SYMBOLS_SQL}, sel(w) AS (VALUES {", ".join(f"('{s}')" for s in _SELECTORS)}), n AS (SELECT w, {_NORM} AS s FROM sel)
+SELECT w AS selector, id FROM n, symbols WHERE s IN (lower(file), lower(id), lower(name), lower(file) || ':' || lower(name), lower(file) || ':' || line, lower(file) || ':' || line || ':' || lower(name)) OR starts_with(lower(file), s) OR ends_with(lower(file), s) OR contains(lower(name), s)""")
+def selector_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that selectors mean."""
+    asked = spark.createDataFrame([(s,) for s in _SELECTORS], "selector string")
+    found = P.symbols(spark, sf_dir).crossJoin(F.broadcast(asked)).where(annotations.matches(F.col("selector"), F.col("file"), F.col("id"), F.col("name"), F.col("line")))  # selectors are the seven above
+    return found.select("selector", "id")
+
+
+# --- Paired runs ------------------------------------------------------------
+
+_MEASURES = tuple(abruns.MEASURES)
+_ROUND = lambda names: [F.round(n, 6).alias(n) for n in names]
+
+
+@query(f"""WITH {P.RUNS_SQL} SELECT arm, count(*) AS runs, CAST(sum(pass) AS BIGINT) AS successes, round(sum(cost_usd), 6) AS total_cost_usd, {", ".join(f"round(median({m}), 6) AS median_{m}" for m in _MEASURES)},
+round(sum(pass) / count(*), 6) AS success_rate, round(sum(cost_usd) / count(*), 6) AS avg_cost_usd, round(sum(pass) / nullif(sum(cost_usd), 0), 9) AS solved_per_dollar FROM good GROUP BY arm""")
+def ab_arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both arms' runs."""
+    got = abruns.arm_summary(P.runs(spark, sf_dir))
+    return got.select("arm", "runs", F.col("successes").cast("long").alias("successes"), *_ROUND(["total_cost_usd", *(f"median_{m}" for m in _MEASURES), "success_rate", "avg_cost_usd"]), F.round("solved_per_dollar", 9).alias("solved_per_dollar"))
+
+
+_PAIRS_SQL = f"""firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, repeat, arm ORDER BY run_id) AS k FROM good) WHERE k = 1),
+pairs AS (SELECT {", ".join(f"CAST(a.{m} - b.{m} AS DOUBLE) AS d_{m}" for m in ("pass", *_MEASURES))} FROM firsts a JOIN firsts b ON a.task_id = b.task_id AND a.repeat = b.repeat AND a.arm = 'with_context' AND b.arm = 'without_context')"""
+
+
+@query(f"""WITH {P.RUNS_SQL}, {_PAIRS_SQL} SELECT count(*) AS paired_runs, {", ".join(f"round(avg(d_{m}), 6) AS mean_{m}_delta, round(median(d_{m}), 6) AS median_{m}_delta" for m in ("pass", *_MEASURES))} FROM pairs""")
+def ab_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of paired runs."""
+    got = abruns.paired_summary(P.runs(spark, sf_dir))
+    return got.select("paired_runs", *_ROUND([c for c in got.columns if c != "paired_runs"]))
+
+
+@query(f"""WITH {P.RUNS_SQL}, s AS (SELECT arm, sum(pass) / count(*) AS rate, sum(cost_usd) / count(*) AS cost FROM good GROUP BY arm), d AS (SELECT max(rate) FILTER (WHERE arm = 'with_context') AS ra, max(rate) FILTER (WHERE arm = 'without_context') AS rb,
+coalesce(max(cost) FILTER (WHERE arm = 'with_context'), 0) AS ca, coalesce(max(cost) FILTER (WHERE arm = 'without_context'), 0) AS cb FROM s)
+SELECT CASE WHEN ra IS NULL OR rb IS NULL THEN 'insufficient data' WHEN ra > rb AND ca <= cb THEN 'prefer with_context' WHEN ra < rb AND ca >= cb THEN 'prefer without_context' ELSE 'mixed results - inspect paired deltas' END AS decision FROM d""")
+def ab_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which arm is better."""
+    return abruns.decision(abruns.arm_summary(P.runs(spark, sf_dir)))
+
+
+@query(f"""WITH {P.RUNS_SQL} SELECT count(*) AS run_count, (SELECT count(*) FROM good) AS effective_run_count, count(*) - (SELECT count(*) FROM good) AS excluded_infra_failures, count(DISTINCT task_id) AS task_count FROM runs""")
+def ab_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of runs."""
+    return abruns.totals(P.runs(spark, sf_dir))
+
+
+# --- Paths, files, call sites -----------------------------------------------
+
+_PATH = "regexp_replace(regexp_extract(url, '^https?://([^?#]*)', 1), '/+$', '')"
+RULES = ("*.html", "m.*/", "!m.therou.example.com/", "/blog.*", "de/**", "!*.net/de/**", "fr/4?", "# no rule", "")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/+$", "").alias("path"))
+
+
+def _ignored_sql(path: str, folder: str) -> str:
+    said = "false"
+    for r in ignore.parse(RULES):
+        if r.folder:
+            hit = f"{path} = '{r.pattern}' OR starts_with({path}, '{r.pattern}/') OR ({folder} AND regexp_matches(regexp_extract({path}, '[^/]*$'), '^{ignore.glob_regex(r.pattern)}$'))"
+        elif r.anchored:
+            hit = f"regexp_matches({path}, '^{ignore.glob_regex(r.pattern)}$')"
+        elif "/" in r.pattern:
+            hit = f"len(list_filter(range(1, len(string_split({path}, '/')) + 1), lambda j: regexp_matches(array_to_string(list_slice(string_split({path}, '/'), j, len(string_split({path}, '/'))), '/'), '^{ignore.glob_regex(r.pattern)}$'))) > 0"
+        else:
+            hit = f"len(list_filter(string_split({path}, '/'), lambda s: regexp_matches(s, '^{ignore.glob_regex(r.pattern)}$'))) > 0"
+        said = f"CASE WHEN {hit} THEN {'false' if r.negated else 'true'} ELSE {said} END"
+    return said
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), h AS (SELECT page_id, path, i, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS head, i < len(string_split(path, '/')) AS folder FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM p)),
+g AS (SELECT page_id, path, folder, {_ignored_sql("head", "folder")} AS out FROM h) SELECT page_id, path, bool_or(out AND NOT folder) AS ignored, NOT bool_or(out) AS kept FROM g GROUP BY ALL""")
+def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' paths under ignore rules: by themselves, and in a walk."""
+    rules = ignore.parse(RULES)
+    return _paths(spark, sf_dir).select("page_id", "path", ignore.ignored(rules, F.col("path"), F.lit(False)).alias("ignored"), ignore.kept(rules, F.col("path")).alias("kept"))
+
+
+_EXT = "CASE WHEN page_id % 7 = 0 THEN '.py' WHEN page_id % 7 = 1 THEN '.TSX' WHEN page_id % 7 = 2 THEN '.JS' WHEN page_id % 7 = 3 THEN '.mjs' WHEN page_id % 7 = 4 THEN '.gemspec' WHEN page_id % 7 = 5 THEN '.go' ELSE '' END"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} || {_EXT} AS path FROM pages), e AS (SELECT *, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM p)
+SELECT page_id, CASE WHEN lower(ext) IN ('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs') THEN CASE WHEN ext IN ('.js', '.jsx', '.mjs', '.cjs') THEN 'javascript' ELSE 'typescript' END WHEN lower(ext) IN ('.py', '.pyw') THEN 'python' WHEN lower(ext) IN ('.rb', '.rake', '.gemspec') THEN 'ruby' WHEN lower(ext) = '.go' THEN 'go' END AS language,
+CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END AS module FROM e""")
+def ext_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and modules of paths."""
+    path = F.concat(F.col("path"), F.expr(_EXT))
+    return _paths(spark, sf_dir).select("page_id", paths.language_of(path).alias("language"), paths.module_of(path).alias("module"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_PATH} AS path FROM pages), f AS (SELECT path, regexp_replace(path, '\\.[^./]*$', '') AS stem, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^./]*$', '') AS base FROM p),
+i AS (SELECT DISTINCT path AS file, 'lib/' || path AS import_path FROM p UNION SELECT DISTINCT path, './' || regexp_extract(path, '[^/]*$') FROM p WHERE contains(path, '/')),
+r AS (SELECT file, import_path, starts_with(import_path, '.') AS near, CASE WHEN starts_with(import_path, '.') THEN CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') || '/' ELSE '' END || substr(import_path, 3) ELSE import_path END AS p FROM i)
+SELECT r.file, r.import_path, f.path AS target_file FROM r, f WHERE (near AND (p = stem OR p = dir)) OR (NOT near AND (p = stem OR p = dir OR p = base OR ends_with(p, '/' || stem) OR ends_with(p, '/' || dir) OR ends_with(p, '/' || base)))""")
+def import_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that imports mean."""
+    files = _paths(spark, sf_dir).select("path").distinct()
+    far = files.select(F.col("path").alias("file"), F.concat(F.lit("lib/"), "path").alias("import_path"))
+    near = files.where(F.contains("path", F.lit("/"))).select(F.col("path").alias("file"), F.concat(F.lit("./"), paths.base(F.col("path"))).alias("import_path"))
+    return imports.match_imports(far.unionByName(near), files)
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_suppkey AS pos, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '' ELSE 'call' || (l_partkey % 5) END AS name, CASE WHEN l_linestatus = 'F' THEN 'q' ELSE '' END AS qualifier, 'n' || l_suppkey || l_returnflag || l_partkey AS raw, l_partkey FROM lineitem),
+u AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, name, qualifier, l_linenumber ORDER BY pos, raw) AS k FROM c WHERE name <> '')
+SELECT l_orderkey, name, qualifier, l_linenumber AS line, raw, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, qualifier, name, raw) AS place FROM u WHERE k = 1""")
+def callsite_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call sites of orders in order, without repeats."""
+    lines = read(spark, sf_dir, "lineitem")
+    raw = F.concat(F.lit("n"), "l_suppkey", "l_returnflag", "l_partkey")
+    sites = lines.select(
+        "l_orderkey", F.struct(F.col("l_suppkey").alias("a"), raw.alias("b")).alias("pos"), F.when(F.col("l_returnflag") == "R", " ").otherwise(F.concat(F.lit(" call"), F.col("l_partkey") % 5)).alias("name"),
+        F.when(F.col("l_linestatus") == "F", "q ").otherwise(None).alias("qualifier"), F.lit("").alias("receiver"), F.lit(0).alias("arity"), F.col("l_linenumber").alias("line"), raw.alias("raw"),
+    )
+    return normalize.call_sites(sites, ["l_orderkey"]).select("l_orderkey", "name", "qualifier", "line", "raw", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {P.SYMBOLS_SQL}, i AS (SELECT *, file || '|' || line || '|' || kind || '|' || name || '|' || substr(sha1(signature), 1, 8) AS sid FROM symbols) SELECT id, sid, split_part(sid, '|', 1) AS sid_file, split_part(sid, '|', 4) AS sid_name FROM i""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids built and taken apart."""
+    sid = ids.symbol_id(F.col("file"), F.col("line"), F.col("kind"), F.col("name"), F.col("signature"))
+    return P.symbols(spark, sf_dir).withColumn("sid", sid).select("id", "sid", ids.id_file(F.col("sid")).alias("sid_file"), ids.id_name(F.col("sid")).alias("sid_name"))
+
+
+@query("SELECT page_id, substr(sha256(coalesce(html, '')), 1, 16) AS hash FROM pages")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of pages."""
+    return read(spark, sf_dir, "pages").select("page_id", ids.content_hash(F.col("html")).alias("hash"))
+
+
+@query("SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS footprint FROM conversations")
+def token_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in turns of conversations."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.word_count(F.col("text")).alias("footprint"))
+
+
+@query("""SELECT conv_id, turn, coalesce(trim(string_split(text, chr(10))[2], ' ' || chr(9) || chr(13)), '') AS line FROM conversations""")
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second lines of turns."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.source_line(F.col("text"), F.lit(2)).alias("line"))
+
+
+@query(f"""WITH {P.EDGES_SQL}, o AS (SELECT src AS id, string_agg(dst || '{{' || confidence || '}}', ', ' ORDER BY dst || '{{' || confidence || '}}') AS t FROM edges GROUP BY src), i AS (SELECT dst AS id, string_agg(src, ', ' ORDER BY src) AS t FROM edges GROUP BY dst),
+b AS (SELECT file, line, s.id, chr(10) || '### ' || name || ' [' || kind || ']' || chr(10) || 'sig: ' || signature || chr(10) || 'doc: ' || doc || chr(10) || coalesce('calls: [' || o.t || ']' || chr(10), '') || coalesce('called_by: [' || i.t || ']' || chr(10), '') AS t FROM symbols s LEFT JOIN o ON o.id = s.id LEFT JOIN i ON i.id = s.id)
+SELECT file, '## ' || file || chr(10) || string_agg(t, '' ORDER BY line, id) || chr(10) AS section FROM b GROUP BY file""")
+def render_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each file as in module files."""
+    from lodeweave.sources import sinks
+
+    files = P.symbols(spark, sf_dir).select(F.col("file").alias("path")).distinct().withColumn("imports", F.array().cast("array<string>"))
+    return sinks.file_sections(files, P.symbols(spark, sf_dir), _edges(spark, sf_dir))
