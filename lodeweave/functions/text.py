@@ -23,7 +23,7 @@ def word_count(text: Column) -> Column:
 
 def string_set(values: Column) -> Column:
     """Return strings trimmed, without empty ones and repeats, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def distinct_in_order(values: Column) -> Column:
