@@ -121,3 +121,21 @@ def event_counts(events: DataFrame) -> DataFrame:
         F.count_if(kind == "step_start").alias("step_count"), F.count_if(call).alias("tool_call_count"), F.count_if(call & (tool == "task")).alias("task_tool_call_count"),
         F.count_if(call & command.rlike(r"\bdoctor\b")).alias("doctor_count"), F.count_if(call & command.rlike(r"\bupdate\b")).alias("update_count"), F.count_if(call & command.rlike(r"\bsymbol\b")).alias("symbol_count"),
     )
+
+
+def session_sums(sessions: DataFrame) -> DataFrame:
+    """Return ``(run_id, label, value)`` of costs and tokens summed over the messages ``(run_id, json)`` of a run's sessions."""
+    fields = {
+        "total_cost_usd": "$.cost", "input_tokens": "$.tokens.input", "output_tokens": "$.tokens.output",
+        "cache_read_tokens": "$.tokens.cache.read", "cache_write_tokens": "$.tokens.cache.write",
+    }
+    message = F.explode(F.coalesce(F.from_json(F.get_json_object("json", "$.messages"), "array<string>"), F.array(F.col("json")))).alias("m")
+    spread = sessions.select("run_id", message)
+    pairs = F.array(*[F.struct(F.lit(label).alias("label"), F.get_json_object("m", path).try_cast("double").alias("value")) for label, path in fields.items()])
+    return spread.select("run_id", F.explode(pairs).alias("p")).where("p.value is not null").groupBy("run_id", F.col("p.label").alias("label")).agg(F.sum("p.value").alias("value"))
+
+
+def preferred(sessions: DataFrame, statistics: DataFrame) -> DataFrame:
+    """Return ``(run_id, label, value)``: what sessions add up to, and what statistics lines say only where sessions say nothing."""
+    a, b = sessions.withColumnRenamed("value", "a"), statistics.groupBy("run_id", "label").agg(F.max("value").alias("b"))
+    return a.join(b, ["run_id", "label"], "full").select("run_id", "label", F.coalesce("a", "b").alias("value"))

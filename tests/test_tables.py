@@ -94,6 +94,25 @@ def test_run_sources(spark):
     assert (row.step_count, row.tool_call_count, row.doctor_count, row.update_count) == (1, 1, 1, 0)
 
 
+def test_sessions_come_before_statistics(spark):
+    sessions = spark.createDataFrame([("r", '{"messages":[{"cost":1.5,"tokens":{"input":2,"cache":{"read":7}}},{"cost":0.5}]}'), ("r", '{"cost":1}'), ("q", "broken")], "run_id string, json string")
+    sums = abruns.session_sums(sessions)
+    assert {(r.label, r.value) for r in sums.collect()} == {("total_cost_usd", 3.0), ("input_tokens", 2.0), ("cache_read_tokens", 7.0)}
+    statistics = spark.createDataFrame([("r", "input_tokens", 99.0), ("q", "input_tokens", 5.0)], "run_id string, label string, value double")
+    got = {(r.run_id, r.label): r.value for r in abruns.preferred(sums, statistics).collect()}
+    assert got[("r", "input_tokens")] == 2.0 and got[("q", "input_tokens")] == 5.0
+
+
+def test_records(spark):
+    symbols = spark.createDataFrame([("i1", "a.go", "A", "func", "func A()", 2), ("i2", "a.go", "B", "func", "", 3)], "id string, file string, name string, kind string, signature string, line int")
+    files = spark.createDataFrame([("a.go", "go", "h", ["fmt"], "x\n  func A() {}\n")], "path string, language string, hash string, imports array<string>, content string")
+    edges = spark.createDataFrame([("i1", "i2", "resolved")], "src string, dst string, confidence string")
+    got = {r.symbol_id: r for r in annotations.records(symbols, files, edges).collect()}
+    one = got["i1"].input
+    assert (one.source.body, one.calls, one.called_by, one.imports, one.symbol.language, got["i1"].status) == ("func A() {}", ["i2"], [], ["fmt"], "go", "pending")
+    assert (got["i2"].input.source.body, got["i2"].input.called_by) == ("", ["i1"])
+
+
 def test_call_sites(spark):
     calls = [(" b ", None, "", 1, 2, "first"), ("b", "", "", 1, 2, "second"), ("a", "q", "", 0, 2, "x"), (" ", "", "", 0, 1, "no"), ("z", "", "", 0, 1, "z")]
     table = spark.createDataFrame([("k", i, *c) for i, c in enumerate(calls)], "k string, pos int, name string, qualifier string, receiver string, arity int, line int, raw string")
