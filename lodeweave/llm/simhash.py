@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ SIZE, BLOCKS, BITS = 384, 10, 36
 RADIUS = 2
 #: Bits, of all SIZE, in which near duplicates may differ: 17 %, an angle of 30 degrees.
 DISTANCE = 65
+#: Variants that are compared in one part: 12 MB packed.
+PART = 2_000_000
 
 _WIDTH = SIZE // 64
 _CODES = [f"c{k}" for k in range(_WIDTH)]
@@ -69,26 +72,57 @@ def blocks(codes: np.ndarray) -> np.ndarray:
     return bits[:, : BLOCKS * BITS].reshape(len(codes), BLOCKS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
 
 
-def _variants(codes: DataFrame) -> DataFrame:
-    """Return ``(bucket, id)`` for all variants within half the radius of all blocks."""
+def _collisions(codes: DataFrame) -> DataFrame:
+    """Return ``(ids)``: the sets of codes that have a variant, within half the radius of a block, in common.
+
+    Variants are shuffled as packed arrays, those of a batch of codes for the
+    same part in one row: 32 bits of the variant's hash, of which the part is a
+    function as well, and 16 that say whose it is. The size of one is the same
+    whatever the number of parts, and parts grow with the codes. Hashes of
+    different variants may be equal; pairs are verified on whole codes.
+    """
     flips = np.array([0, *(1 << i for i in range(BITS))], np.int64)
     tags = np.arange(BLOCKS, dtype=np.int64) << BITS
+    parts = max(1, math.ceil(codes.count() * BLOCKS * len(flips) / PART))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                own = blocks(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)) | tags
-                buckets = own[:, :, None] ^ flips
-                ids = np.repeat(batch.column(0).to_numpy(), BLOCKS * len(flips))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1)), pa.array(ids)], names=["bucket", "id"])
-
-    return codes.mapInArrow(run, "bucket long, id long")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(ids) != 1) + 1, len(ids)]  # ids are numbered as written
+            for lo, hi in ((i, min(i + 4096, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for i in range(a, b, 4096)):
+                own = blocks(np.stack([c.to_numpy()[lo:hi] for c in batch.columns[1:]], axis=1)) | tags
+                hashes = mix((own[:, :, None] ^ flips).reshape(-1).view(np.uint64))
+                part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                keys, whose = hashes[order].astype(np.uint32), (order // (BLOCKS * len(flips))).astype(np.uint16)
+                first = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+                ends = np.r_[first[1:], len(order)]
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (keys, whose)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order[first]]), pa.array(np.full(len(first), ids[lo])), *packed], names=["part", "base", "keys", "whose"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"]])
+        ids = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + base for x, base in zip(rows["whose"], rows["base"], strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        same = keys[1:] == keys[:-1]
+        some = np.r_[same, False] | np.r_[False, same]
+        keys, ids = keys[some], ids[some]
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)].astype(np.int32)), pa.array(ids))
+        return pa.table([lists], names=["ids"])
+
+    packed = codes.mapInArrow(emit, "part int, base long, keys binary, whose binary")
+    return packed.groupBy("part").applyInArrow(meet, "ids array<long>").distinct()
 
 
 def _forest(codes: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Return edges that connect just those ids that chains of pairs within the distance connect."""
+    """Return edges that connect just those ids that chains of near pairs connect: within the distance, and in a block within the radius."""
     n = len(ids)
+    parts = blocks(codes)
     edges, rest = [], np.ones(n, bool)
     for seed in range(n):
         if not rest[seed]:
@@ -102,6 +136,7 @@ def _forest(codes: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[int
                 break
             apart = np.bitwise_count(codes[near] ^ codes[a]).sum(axis=1)
             near = near[apart <= distance]
+            near = near[np.bitwise_count(parts[near] ^ parts[a]).min(axis=1) <= RADIUS] if len(near) else near
             rest[near] = False
             stack += near.tolist()
             edges += [(int(ids[a]), int(ids[b])) for b in near]
@@ -170,9 +205,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     """
     prints = settled(fingerprint(docs, text, key).distinct(), "simhash")
     codes = settled(prints.select(*_CODES).distinct().withColumn("id", F.monotonically_increasing_id()), "codes")  # numbered once, as it's written
-    counted = _variants(codes.select("id", *_CODES)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
-    buckets = counted.groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    groups = buckets.select("ids").distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id"))
+    groups = _collisions(codes.select("id", *_CODES)).select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id"))
     members = groups.join(codes, "id").groupBy("group").agg(F.collect_list(F.struct("id", *_CODES)).alias("members"))
     linked = components(_verified(members, distance), "stars")
     placed = prints.join(codes, _CODES).join(linked, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
