@@ -168,6 +168,22 @@ def test_simhash_recall(spark):
     assert not [k for k in got if k >= 5000]
 
 
+def test_simhash_recall_plain(spark):
+    """Of all pairs within DISTANCE, whether or not they meet in a block, nine in ten are in one group; who has no such pair is in none."""
+    from lodeweave.llm.shared import text_bytes
+    import pyarrow as pa
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    codes, n = simhash.fingerprints(*text_bytes(pa.array([t for _, t in docs])))
+    apart = [np.bitwise_count(codes[i + 1 :] ^ codes[i]).sum(axis=1) for i in range(len(docs))]
+    near = [(i, i + 1 + j) for i, d in enumerate(apart) for j in np.flatnonzero(d <= simhash.DISTANCE) if n[i] and n[i + 1 + j]]
+    pairs = [(docs[i][0], docs[j][0]) for i, j in near if (codes[i] != codes[j]).any()]
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(table).collect()}
+    assert len(pairs) > 50 and sum(a in got and got[a] == got.get(b) for a, b in pairs) >= 0.9 * len(pairs)
+    assert set(got) <= {docs[k][0] for p in near for k in p}
+
+
 def test_simhash_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
