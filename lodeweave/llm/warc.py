@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -20,6 +21,9 @@ from .shared import shared_dir
 #: Uncompressed bytes of records in one archive: they are held until its dictionary is built.
 FILE_BYTES = 32 << 20
 DICT_BYTES = 110 << 10
+#: Samples that a dictionary is trained on, at least; and their bytes at most, which only pages over 32 MB exceed.
+SAMPLES = 16
+TRAIN_BYTES = 2 * FILE_BYTES
 LEVEL = 6
 #: The first four bytes of the skippable frame that holds the dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -51,12 +55,23 @@ def record(url: str | None, payload: bytes, page_id: int | None) -> tuple[bytes,
     return head.encode() + payload + b"\r\n\r\n", digest
 
 
+def _samples(records: list[bytes]) -> list[bytes]:
+    """Return what a dictionary is trained on: all records, in pieces where they are few; evenly thinned beyond TRAIN_BYTES, which training takes many times in memory."""
+    total = sum(map(len, records))
+    step = total // SAMPLES + 1 if len(records) < SAMPLES else total
+    if total > TRAIN_BYTES:
+        step = min(step, 1 << 20)
+    pieces = [r[i : i + step] for r in records for i in range(0, len(r), step)]
+    return pieces[:: math.ceil(total / TRAIN_BYTES)]
+
+
 def build_dictionary(records: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """Build a dictionary from all given records, or none where they are too few or too short for one to pay."""
-    if len(records) < 16 or sum(map(len, records)) < 8 * size:
+    """Build a dictionary from all given records, of ``size`` bytes or an eighth of theirs; none where they hold under 2 KB or nothing that repeats."""
+    size = min(size, sum(map(len, records)) // 8)
+    if size < 256:  # the least that Zstandard takes
         return b""
     try:
-        return zstandard.train_dictionary(size, records, k=1024, d=8, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, _samples(records), k=min(1024, size), d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # nothing that repeats
         return b""
 

@@ -31,6 +31,32 @@ def test_warc_file_layout():
     assert warc.archive(records) == (data, places)
 
 
+@pytest.mark.parametrize("data, file_bytes", [("sf0.001", warc.FILE_BYTES), ("sf0.01", 300_000), ("sf0.01", 3_000), ("sf0.01", warc.FILE_BYTES)])
+def test_warc_round_trip_with_dictionaries(spark, tmp_path, data, file_bytes):
+    """Archives of all sizes begin with a dictionary, and all their records are read back through it."""
+    pages = spark.read.parquet(f"/root/testdata/{data}/pages.parquet").coalesce(1)
+    index = warc.write_warc(pages, f"file://{tmp_path}/w", file_bytes).cache()
+    back = warc.read_warc(index, f"file://{tmp_path}/w")
+    assert sorted(map(tuple, back.collect())) == sorted((r.page_id, r.url, r.html) for r in pages.collect())
+    held = {r.warc_file: r.n for r in index.groupBy("warc_file").agg({"record_bytes": "sum"}).toDF("warc_file", "n").collect()}
+    for name, n in held.items():
+        with open(f"{tmp_path}/w/{name}", "rb") as f:
+            assert warc.dictionary_of(f.read()) or n < 2048
+    assert max(held.values()) >= 2048
+    index.unpersist()
+
+
+def test_warc_dictionary_of_few():
+    """Few or long records get a dictionary, too little text gets none, and long pages don't multiply what is trained on."""
+    page = lambda i, n: warc.record(f"http://e.x/{i}", "".join(f"<p>{k * i} is the {k}th line of {i}</p>" for k in range(n)).encode(), i)[0]
+    for records in ([page(7, 200)], [page(i, 40) for i in range(3)], [page(i, 60_000) for i in range(1, 4)]):
+        data, places = warc.archive(records)
+        reader = warc.zstandard.ZstdDecompressor(dict_data=warc.dictionary_of(data))
+        assert places[0][0] > 8 and [reader.decompress(data[a : a + n]) for a, n in places] == records
+    assert warc.build_dictionary([page(1, 1)]) == b"" and warc.build_dictionary([]) == b""
+    assert sum(map(len, warc._samples([bytes(5 * warc.TRAIN_BYTES)]))) <= warc.TRAIN_BYTES + (1 << 20)
+
+
 def test_warc_awkward(spark, tmp_path):
     rows = [(1, None, None, "a"), (None, "http://x\r\nEvil: 1", "é\r\n\r\nbody", "b"), (2, "", "", "c"), (3, "u", "x" * 500_000, "d"), (3, "u", "x" * 500_000, "d")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset string")
