@@ -32,8 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates; texts without a word stay."""
-    return simhash.dedup_documents(docs)
+    """Keep one document of each group of near duplicates; texts without a word stay, and texts with the same key are compared like documents."""
+    return simhash.dedup_texts(docs)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,3 +230,25 @@ def dedup_documents(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     place = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))  # on the join's partitions
     single = kept.withColumn("__lw_place", F.row_number().over(place)).where("__lw_place = 1").drop("__lw_place")
     return single.unionByName(docs.where(F.col(key).isNull()))
+
+
+def dedup_texts(docs: DataFrame, distance: int = DISTANCE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Return the rows of ``docs`` as :func:`dedup_documents` does, but compare texts with the same key like documents.
+
+    Members of groups are keys with a text, by a 64-bit hash of both: of each
+    group the one of the least key, then of the least xxhash64 of the text, stays.
+    So a repeated key neither drops a text that is nobody's near duplicate nor
+    connects groups. Of rows with the same key and text one stays, with the
+    least hash over its columns.
+    """
+    member = F.xxhash64(F.col(key), F.col(text))
+    some = docs.where(F.col(key).isNotNull())
+    slim = some.where(F.col(text).isNotNull()).select(member.alias("id"), F.struct(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("version")).alias("rank"), F.col(text).alias("text"))
+    groups = settled(near_duplicates(slim, distance, "text", "id").withColumnRenamed("doc_id", "id"), "texts")
+    ranked = groups.join(slim.select("id", "rank"), "id")
+    first = ranked.groupBy("group_id").agg(F.min_by("id", "rank").alias("stays"))
+    gone = groups.join(first, "group_id").where("id <> stays").select(F.col("id").alias("__lw_gone"))
+    kept = some.withColumn("__lw_member", member).join(gone, F.col("__lw_member") == F.col("__lw_gone"), "left_anti")
+    place = Window.partitionBy("__lw_member").orderBy(F.xxhash64(*docs.columns))  # on the join's partitions
+    single = kept.withColumn("__lw_place", F.row_number().over(place)).where("__lw_place = 1").drop("__lw_member", "__lw_place")
+    return single.unionByName(docs.where(F.col(key).isNull()))

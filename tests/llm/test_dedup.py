@@ -209,3 +209,18 @@ def test_simhash_awkward(awkward, nothing):
     keys = Counter(r.doc_id for r in out.collect())
     assert keys == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, None: 2}  # 2 is a near copy of 1
     assert simhash.dedup_documents(nothing).count() == 0
+
+
+def test_simhash_repeated_keys(spark, awkward, nothing):
+    """In the pipeline, texts with the same key stay unless they are near duplicates, and don't connect groups."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a, 1), (2, b, 2), (3, a + " more", 3), (3, b + " more", 4), (3, c, 5), (3, c, 5), (3, c, 6), (4, None, 7), (4, "", 8), (None, a, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert got.columns == docs.columns
+    assert texts(got) == sorted([(1, a), (2, b), (3, c), (4, None), (4, ""), (None, a)], key=repr)
+    got = corpus_pipeline.dedup_documents(spark, awkward, "")
+    assert Counter(r.doc_id for r in got.collect()) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 2, 9: 1, None: 2}
+    assert corpus_pipeline.dedup_documents(spark, nothing, "").count() == 0
