@@ -15,9 +15,13 @@ from .shared import settled
 K = 10
 #: Vectors in a block: what is compared with what in one step, and all that a worker holds of each side.
 BLOCK = 4096
-#: Cells of the coarse division, at most; their centres are broadcast (256 bytes each at 64 dimensions).
+#: Cells of the coarse division, at most; centres, radii and sizes of cells are what the driver and each task hold of the index.
 MAX_CELLS = 1024
+#: Vectors, of least hash, to which the cells' centres are fitted, at most. All vectors are indexed, whatever this is.
+FIT_ROWS = 65_536
 ROUNDS = 4
+#: Queries are those rows whose key is divisible by this.
+EVERY = 20
 #: Standard deviations of the estimate that its bounds are wide.
 WIDTH = 1.9
 _SEED = 7
@@ -107,83 +111,80 @@ def _closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return cell, np.linalg.norm(x - centres[cell], axis=1)
 
 
-def _centres(unit: DataFrame, count: int) -> np.ndarray:
-    """Return cell centres: those of least hash to begin with, then some rounds of means over all vectors."""
-    seeds = unit.orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
-    centres = _matrix(seeds["v"].combine_chunks())
-    for _ in range(ROUNDS if count > 1 else 1):
-        old = centres
-
-        def run(batches: Iterator[pa.RecordBatch], old: np.ndarray = old) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(old), old.shape[1] + 1))
-            for batch in batches:
-                x = _matrix(batch.column(1))
-                np.add.at(total, _closest(x, old)[0], np.c_[x, np.ones(len(x))])
-            cell, place = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total[cell, place])], names=["cell", "place", "part"])
-
-        sums = unit.mapInArrow(run, "cell int, place int, part double").groupBy("cell", "place").agg(F.sum("part").alias("s")).toArrow()
-        total = np.zeros((len(old), old.shape[1] + 1))
-        total[sums["cell"].to_numpy(), sums["place"].to_numpy()] = sums["s"].to_numpy()
-        full = total[:, -1] > 0
-        centres = old.copy()
-        centres[full] = (total[full, :-1] / total[full, -1:]).astype(np.float32)
+def fitted(sample: np.ndarray, count: int) -> np.ndarray:
+    """Return cell centres: the sample's first rows to begin with, then some rounds of means."""
+    centres = sample[:count].copy()
+    for _ in range(ROUNDS):
+        cell = np.concatenate([_closest(sample[i : i + 4096], centres)[0] for i in range(0, len(sample), 4096)])
+        order = np.argsort(cell, kind="stable")
+        own, first = np.unique(cell[order], return_index=True)
+        means = np.add.reduceat(sample[order].astype(np.float64), first) / np.diff(np.r_[first, len(order)])[:, None]
+        centres[own] = means
     return centres
 
 
-_BLOCKS = "block int, cell int, radius float, ids binary, vectors binary, bits binary, length binary, matching binary"
+_BLOCKS = "block int, cell int, ids binary, vectors binary, bits binary, length binary, matching binary, asks binary"
 
 
-def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: int = MAX_CELLS, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Return ``(vec_id, neighbour_id, rank, similarity)``: each vector's ``k`` nearest others by cosine.
+def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: int = MAX_CELLS, fit_rows: int = FIT_ROWS, every: int = EVERY, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Return ``(vec_id, neighbour_id, rank, similarity)``: the ``k`` nearest others, by cosine, of each query.
 
-    All vectors are queries. They are divided into cells by means over all of
-    them, and cells into blocks of about ``block`` vectors with one-bit codes of
-    their residuals. A query is first held against its own block; the k-th
-    distance found there bounds what can still matter, and it goes on only to
-    blocks that can hold something nearer, by the triangle inequality on their
-    centre and radius. So nothing is missed but by the codes' bounds, at
-    ``WIDTH`` standard deviations; vectors without structure are compared all
-    with all. Work moves as blocks, so a worker's memory doesn't depend on the
-    number of vectors.
+    Queries are the rows whose key is divisible by ``every`` (1 for all rows);
+    they are held against all rows. Rows are divided into at most ``max_cells``
+    cells, whose centres are fitted to at most ``fit_rows`` rows of least hash,
+    and cells into blocks of about ``block`` rows, with one-bit codes of their
+    residuals. More cells make blocks tighter, more rows to fit to make centres
+    truer; neither changes which rows are indexed, which is all of them.
+
+    A query is first held against its own block; the k-th distance found there
+    bounds what can still matter, and it goes on only to cells that can hold
+    something nearer, by the triangle inequality on their centre and radius. So
+    nothing is missed but by the codes' bounds, at ``WIDTH`` standard deviations
+    (tests measure a recall of 0.95 against brute force). Where vectors have no
+    clusters, all blocks are visited. Work moves as blocks, so a worker's memory
+    doesn't depend on the number of vectors, and the driver holds a row a cell.
 
     Null keys, null or empty vectors, vectors with a null, NaN or infinite
-    element, zero vectors, and those of another length than most have no row.
-    Repeated rows count once; of several vectors with one key the least counts.
-    Ties go to the smaller id; with fewer than ``k`` others all are returned. An
-    empty table gives an empty result; other columns don't matter.
+    element, zero vectors, and those of another length than most have no row and
+    are nobody's neighbour; keys must be integers. Repeated rows count once; of
+    several vectors with one key the least counts. Ties go to the smaller id;
+    with fewer than ``k`` others all are returned. An empty table gives an empty
+    result; other columns don't matter.
     """
     unit = settled(_unit(vectors, key, embedding), "unit")
     n = unit.count()
     schema = "vec_id long, neighbour_id long, distance float"
     if n == 0:
         return unit.select(F.col("id").alias("vec_id"), F.col("id").alias("neighbour_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"))
-    centres = _centres(unit, max(1, min(max_cells, n // block)))
-    d = centres.shape[1]
+    sample = unit.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
+    centres = fitted(_matrix(sample["v"].combine_chunks()), max(1, min(max_cells, fit_rows, n // block)))
+    cells, d = centres.shape
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, away = _closest(_matrix(batch.column(1)), centres)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away.astype(np.float32))], names=["id", "v", "cell", "away"])
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                cell, away = _closest(_matrix(part.column(1)), centres)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(away.astype(np.float32))], names=["id", "v", "cell", "away"])
 
     placed = settled(unit.mapInArrow(assign, "id long, v array<float>, cell int, away float"), "cells")
-    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    numbered = placed.join(F.broadcast(counts), "cell").withColumn("block", F.hash("cell", F.pmod(F.xxhash64("id"), F.col("parts"))))  # of cells there are max_cells at most
+    counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.max("away").alias("radius"))
+    found = {r.cell: (r.parts, r.radius) for r in counts.collect()}  # a row a cell, of which there are max_cells at most
+    parts = np.array([found.get(c, (0, 0.0))[0] for c in range(cells)])
+    radii = np.array([found.get(c, (0, 0.0))[1] for c in range(cells)], np.float32)
+    part = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(max(p, 1))) for p in parts]), F.col("cell") + 1))
+    numbered = placed.withColumn("block", (part * cells + F.col("cell")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        x, cell = _matrix(table["v"].combine_chunks()), table["cell"][0].as_py()
+        x, cell, ids = _matrix(table["v"].combine_chunks()), table["cell"][0].as_py(), table["id"].to_numpy()
         bits, length, match = coded(x, centres[cell])
-        values = [table["block"][0].as_py(), cell, float(length.max()), table["id"].to_numpy().tobytes(), x.tobytes(), bits.tobytes(), length.astype(np.float32).tobytes(), match.astype(np.float32).tobytes()]
-        types = [pa.int32(), pa.int32(), pa.float32()] + [pa.binary()] * 5
-        names = ["block", "cell", "radius", "ids", "vectors", "bits", "length", "matching"]
+        values = [table["block"][0].as_py(), cell, ids.tobytes(), x.tobytes(), bits.tobytes(), length.astype(np.float32).tobytes(), match.astype(np.float32).tobytes(), (ids % every == 0).tobytes()]
+        types = [pa.int32(), pa.int32()] + [pa.binary()] * 6
+        names = ["block", "cell", "ids", "vectors", "bits", "length", "matching", "asks"]
         return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
     blocks = settled(numbered.select("block", "cell", "id", "v").groupBy("block").applyInArrow(build, _BLOCKS), "blocks")
-    heads = [(r.block, r.cell, r.radius) for r in blocks.select("block", "cell", "radius").collect()]  # three numbers a block
-    heads.sort()
-    names = np.array([h[0] for h in heads])
-    middles, radii = centres[[h[1] for h in heads]], np.array([h[2] for h in heads], np.float32)
 
     def opened(row: dict) -> tuple[np.ndarray, ...]:
         ids = np.frombuffer(row["ids"], np.int64)
@@ -193,16 +194,20 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
+                asks = np.frombuffer(row["asks"], bool)
                 x, ids, *codes = opened(row)
-                got = list(nearest(x, np.full(len(x), np.inf, np.float32), ids, x, ids, *codes, k))
+                own, names = x[asks], ids[asks]
+                if not len(own):
+                    continue
+                got = list(nearest(own, np.full(len(own), np.inf, np.float32), names, x, ids, *codes, k))
                 q, to, far = (np.concatenate([g[j] for g in got]) for j in range(3))
-                limit = np.full(len(x), np.inf, np.float32)
+                limit = np.full(len(own), np.inf, np.float32)
                 last = np.flatnonzero(np.r_[q[1:] != q[:-1], True]) if len(q) else np.empty(0, np.int64)
                 enough = last[last - np.searchsorted(q, q[last]) == k - 1] if len(q) else last
                 limit[q[enough]] = far[enough]
-                lists = np.searchsorted(q, np.arange(len(x) + 1)).astype(np.int32)
+                lists = np.searchsorted(q, np.arange(len(own) + 1)).astype(np.int32)
                 near = pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(to), pa.array(far)], names=["id", "distance"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), row["block"], np.int32)), pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32())), pa.array(limit), near], names=["block", "id", "v", "bound", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["block"], np.int32)), pa.array(names), pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), d).cast(pa.list_(pa.float32())), pa.array(limit), near], names=["block", "id", "v", "bound", "near"])
 
     own = settled(blocks.mapInArrow(inside, "block int, id long, v array<float>, bound float, near array<struct<id: long, distance: float>>"), "own")
 
@@ -210,12 +215,15 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                x, limit = _matrix(batch.column(2)), batch.column(3).to_numpy()
-                away = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (middles**2).sum(axis=1) - 2 * x @ middles.T, 0))
-                may = (away - radii - 1e-3 <= np.sqrt(limit)[:, None]) & (batch.column(0).to_numpy()[:, None] != names)
-                for b in np.flatnonzero(may.any(axis=0)):
-                    rows = may[:, b]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(names[b])], pa.int32()), pa.array([batch.column(1).to_numpy()[rows].tobytes()]), pa.array([x[rows].tobytes()]), pa.array([limit[rows].tobytes()])], names=["block", "q_ids", "q_vectors", "q_limits"])
+                x, limit, home = _matrix(batch.column(2)), batch.column(3).to_numpy(), batch.column(0).to_numpy()
+                away = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T, 0))
+                may = (away - radii - 1e-3 <= np.sqrt(limit)[:, None]) & (parts > 0)
+                for c in np.flatnonzero(may.any(axis=0)):
+                    for p in range(parts[c]):
+                        name = int(p * cells + c)
+                        rows = may[:, c] & (home != name)
+                        if rows.any():
+                            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([batch.column(1).to_numpy()[rows].tobytes()]), pa.array([x[rows].tobytes()]), pa.array([limit[rows].tobytes()])], names=["block", "q_ids", "q_vectors", "q_limits"])
 
     sent = own.select("block", "id", "v", "bound").mapInArrow(onward, "block int, q_ids binary, q_vectors binary, q_limits binary")
 

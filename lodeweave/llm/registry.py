@@ -29,7 +29,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Return the ten nearest neighbours of all embeddings."""
+    """Return the ten nearest neighbours, among all embeddings, of those whose id is divisible by 20."""
     return ann.neighbours(read(spark, sf_dir, "embeddings"))
 
 

@@ -118,41 +118,55 @@ def exact(x, k):
     return np.sort(sim, axis=1)[:, ::-1][:, :k]
 
 
-def recall(got, best, k):
+def recall(got, best, k, every):
+    """Share of the queries' true neighbours, or others as near, that were found; every query has k rows."""
     by = {}
     for r in got:
         by.setdefault(r.vec_id, []).append(r)
+    assert sorted(by) == list(range(0, len(best), every))
     hits = 0
-    for i, row in enumerate(best):
+    for i in by:
         mine = sorted(by[i], key=lambda r: r.rank)
         assert [r.rank for r in mine] == list(range(1, k + 1)) and len({r.neighbour_id for r in mine}) == k
-        hits += sum(r.similarity >= row[-1] - 2e-6 for r in mine)
-    return hits / best.size
+        hits += sum(r.similarity >= best[i][-1] - 2e-6 for r in mine)
+    return hits / (len(by) * k)
 
 
 def test_neighbours_recall(spark):
+    """The query's own form and all rows as queries, on the data's vectors, in few and in many blocks."""
     table = spark.read.parquet(f"{DATA}/embeddings.parquet")
     x = np.stack([r.embedding for r in table.orderBy("vec_id").collect()]).astype(float)
-    for block in (4096, 300):
-        assert recall(ann.neighbours(table, block=block).collect(), exact(x, 10), 10) >= 0.95
+    assert np.array_equal([r.vec_id for r in table.orderBy("vec_id").select("vec_id").collect()], np.arange(len(x)))
+    best = exact(x, 10)
+    for block, every in ((ann.BLOCK, ann.EVERY), (300, ann.EVERY), (300, 1)):
+        assert recall(ann.neighbours(table, block=block, every=every).collect(), best, 10, every) >= 0.95
+
+
+def test_neighbours_fitted_on_few(spark):
+    """Cells that are fitted to a few rows index all the same."""
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    x = np.stack([r.embedding for r in table.orderBy("vec_id").collect()]).astype(float)
+    assert recall(ann.neighbours(table, block=100, fit_rows=40).collect(), exact(x, 10), 10, ann.EVERY) >= 0.95
 
 
 def test_neighbours_without_structure(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 30))
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    assert recall(ann.neighbours(df, k=5, block=200).collect(), exact(x.astype(np.float32).astype(float), 5), 5) >= 0.9
+    assert recall(ann.neighbours(df, k=5, block=200, every=1).collect(), exact(x.astype(np.float32).astype(float), 5), 5, 1) >= 0.9
 
 
 def test_neighbours_awkward(spark):
     v = [1.0, 0.0, 2.0]
     rows = [(1, v, 9), (1, v, 9), (2, v, 9), (3, v, 8), (4, [0.0, 1.0, 0.0], 1), (5, None, 1), (None, v, 1), (6, [], 1), (7, [0.0, 0.0, 0.0], 1), (8, [float("nan"), 1.0, 1.0], 1), (9, [1.0, None, 2.0], 1), (10, [1.0, 2.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = sorted((r.vec_id, r.rank, r.neighbour_id, r.similarity) for r in ann.neighbours(df).collect())
+    got = sorted((r.vec_id, r.rank, r.neighbour_id, r.similarity) for r in ann.neighbours(df, every=1).collect())
     assert [g[:3] for g in got] == [(1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 1), (2, 2, 3), (2, 3, 4), (3, 1, 1), (3, 2, 2), (3, 3, 4), (4, 1, 1), (4, 2, 2), (4, 3, 3)]
     assert all(abs(s - (0 if 4 in (a, b) else 1)) < 1e-5 for a, _, b, s in got)
-    assert ann.neighbours(df.limit(0)).count() == 0
-    assert ann.neighbours(df.where("vec_id = 4")).count() == 0
+    assert {r.vec_id for r in ann.neighbours(df, every=2).collect()} == {2, 4}
+    assert ann.neighbours(df).count() == 0
+    assert ann.neighbours(df.limit(0), every=1).count() == 0
+    assert ann.neighbours(df.where("vec_id = 4"), every=1).count() == 0
 
 
 def test_vocabulary_is_not_in_the_repository():
