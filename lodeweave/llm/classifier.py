@@ -50,6 +50,17 @@ def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(o[new], minlength=n).astype(float)
 
 
+def _kinds(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Return for each text how many bytes it has of each class, made in steps of a bounded number of bytes."""
+    n = len(offsets) - 1
+    table = np.zeros(n * 11)
+    for low in range(0, len(raw), 1 << 20):
+        high = min(low + (1 << 20), len(raw))
+        which = np.repeat(np.arange(n), np.diff(np.clip(offsets, low, high)))
+        table += np.bincount(which * 11 + _CLASS[raw[low:high]], minlength=n * 11)
+    return table.reshape(n, 11)[:, 1:]
+
+
 def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Return the FEATURES of each text; an empty one has zeros."""
     n = len(offsets) - 1
@@ -59,18 +70,17 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(bounds))
     per = np.maximum(count, 1)
     length = (ends - starts).astype(float)
-    kinds = _CLASS[raw]
-    which = np.repeat(np.arange(n), np.diff(offsets))
-    table = np.bincount(which * 11 + kinds, minlength=n * 11).reshape(n, 11)[:, 1:].astype(float)
+    table = _kinds(raw, offsets)
     whole = np.maximum(size, 1)
     same = np.r_[False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])] if len(hashes) else np.zeros(0, bool)
     inner = np.flatnonzero(owner[1:] == owner[:-1])
     pairs = hashes[inner] * np.uint64(3) + hashes[inner + 1]
     distinct = _distinct(hashes, owner, n)
     breaks = np.flatnonzero(raw == 10)
-    lines = np.bincount(which[breaks], minlength=n) + (size > 0)
+    which = np.searchsorted(offsets, breaks, "right") - 1
+    lines = np.bincount(which, minlength=n) + (size > 0)
     some = np.flatnonzero(size > 0)
-    tails, line = np.r_[breaks, offsets[some + 1]] - 1, np.r_[which[breaks], some]  # the bytes that end lines, and their texts
+    tails, line = np.r_[breaks, offsets[some + 1]] - 1, np.r_[which, some]  # the bytes that end lines, and their texts
     tails, line = tails[tails >= offsets[line]], line[tails >= offsets[line]]
     ended = np.bincount(line, weights=_END[raw[tails]].astype(float), minlength=n)
     columns = [
@@ -157,19 +167,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     Of the labels with a document key and a value, the ``rows`` keys of least
     hash are taken: the only bound, and the sample is the same whatever the
     partitions. It is small by that bound, so it's broadcast to pick the
-    documents, and only their statistics come to the driver. Labels that
-    contradict each other count as their rounded mean.
+    documents, and only their statistics come to the driver, a row a key: of
+    documents with the same key those of the least statistics. Labels that
+    contradict each other count as their rounded mean; labels without a document,
+    or with a null, don't count.
     """
-    named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__lw_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("__lw_y"))
-    taken = named.orderBy(F.xxhash64("__lw_id"), "__lw_id").limit(rows)
-    found = docs.select(F.col(key).alias("__lw_key"), F.coalesce(F.col(text), F.lit("")).alias("__lw_text")).join(F.broadcast(taken), F.col("__lw_key") == F.col("__lw_id")).select("__lw_text", "__lw_y")
+    named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
+    taken = named.orderBy(F.xxhash64("id"), "id").limit(rows)
+    found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(taken), F.col("key") == F.col("id")).select("text", "y", F.xxhash64("id").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__lw_text"):
+        for batch in slices(batches):
             x = statistics(*text_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "id"])
 
-    got = found.mapInArrow(run, "x array<double>, y int").orderBy("y", "x").toArrow()  # in an order of its own, so sums come out alike
+    single = found.mapInArrow(run, "x array<double>, y int, id long").groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    got = single.select("x", "y").orderBy("y", "x").toArrow()  # in an order of its own, so sums come out alike
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy().astype(float))
 
@@ -183,9 +196,10 @@ def classify(docs: DataFrame, model: Forest, threshold: float = THRESHOLD, text:
     """Return ``(doc_id, quality_score, keep)`` for each row.
 
     One scan, no shuffle: each Arrow batch is turned to statistics and sent down
-    the trees as arrays. Null and empty texts score 0 and aren't kept; a null key
-    stays null; repeated rows are scored alike; an empty table gives an empty
-    result; other columns don't matter.
+    the trees as arrays. Null and empty texts score 0 and aren't kept; a score at
+    the threshold is kept; a null key stays null; repeated rows are scored alike;
+    a text of any length is scored whole, and a worker holds it some fifteen
+    times over; an empty table gives an empty result; other columns don't matter.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])

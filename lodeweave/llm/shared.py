@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodeweave.storage import read, settled, shared_dir
+
+__all__ = ["read", "settled", "shared_dir"]
 
 #: Bytes of text that a Python worker handles at once; arrays of a few times eight bytes each are made of it.
 SLICE_BYTES = 2 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Return a table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Return names like those wanted that no column of a table has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """Return the name of a new folder in the shared folder that the cluster names.
-
-    Only where ``spark.checkpoint.dir`` is unset, as in local tests, a temporary
-    folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lodeweave/{what}-{uuid.uuid4().hex[:12]}"
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and a lost executor costs nothing before it."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_hash(df: DataFrame) -> Column:
+    """Return a hash of all columns of a table; those that hold maps, which Spark doesn't hash, count as their JSON."""
+    own = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c.alias("c"))) if _has_map(kind) else c for c, kind in own])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +75,9 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
+    size = max(_POWERS, default=0)
+    if size < n:
+        size = 1 << max(16, int(n - 1).bit_length())
         _POWERS.clear()
         up, down = np.full(size, _BASE), np.full(size, _INVERSE)
         up[0] = down[0] = 1
@@ -91,18 +94,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose prefix sums are held at once.
+_STEP = 1 << 20
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Return a 64-bit hash of values[start:end] for each span; equal spans get equal hashes wherever they lie."""
     up, down = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     out = (sums[ends] - sums[starts]) * down[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(out + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
 def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Return a 64-bit hash of raw[start:end] for each span of bytes."""
-    return span_hashes(_BYTE[raw], starts, ends)
+    """Return a 64-bit hash of raw[start:end] for each span of bytes; spans are in order and don't overlap.
+
+    It is that of :func:`span_hashes`, made in steps, so that a long text takes
+    no more memory for it than a short one.
+    """
+    up, down = _powers(_STEP + 1)
+    out = np.zeros(len(starts), np.uint64)
+    for low in range(0, len(raw), _STEP):
+        high = min(low + _STEP, len(raw))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[raw[low:high]] * up[: high - low], out=sums[1:])
+        some = slice(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high, "left")))
+        first, last = starts[some], ends[some]
+        part = sums[np.minimum(last, high) - low] - sums[np.maximum(first, low) - low]
+        scale = down[np.maximum(first - low, 0)]
+        if len(first) and first[0] < low:  # a span that began in an earlier step
+            scale[0] = pow(int(_BASE), low - int(first[0]), 2**64)
+        out[some] += part * scale
+    return mix(out + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -137,3 +162,70 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(cuts):
         starts, ends = np.sort(np.r_[starts, cuts]), np.sort(np.r_[ends, cuts])
     return starts, ends, byte_hashes(lowered(raw), starts, ends), np.searchsorted(starts, offsets)
+
+
+#: Rows in which a task looks for equal keys before any is shuffled: 40 MB.
+GATHERED = 1 << 20
+MARKS = "key long, doc_id long, version long, first int, last int, sure boolean"
+_MARKED = ["key", "doc_id", "version", "first", "last"]
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _joined(rows: Rows) -> Rows:
+    """Return rows, their keys replaced, with ranges that overlap or touch in one document made one."""
+    order = np.lexsort((rows[3], rows[2], rows[1]))
+    _, doc, version, first, last = (x[order] for x in rows)
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])]
+    end = last.astype(np.int64) + (np.cumsum(new) << 32)  # the greatest end so far, in each document by itself
+    reach = np.maximum.accumulate(end)
+    cut = np.flatnonzero(np.r_[True, first[1:] > (reach[:-1] & 0xFFFFFFFF) + 1] | new)
+    doc, version, first = doc[cut], version[cut], first[cut]
+    last = (reach[np.r_[cut[1:], len(reach)] - 1] & 0xFFFFFFFF).astype(np.int32)
+    spread = mix(doc.view(np.uint64) ^ mix(version.view(np.uint64)) ^ first.astype(np.uint64)).view(np.int64)
+    return spread, doc, version, first, last
+
+
+def _marked(rows: Rows, everyone: bool) -> Iterator[pa.RecordBatch]:
+    """Yield one row for each key, and those already sure to have an equal (or an earlier equal) key, whose ranges are joined."""
+    order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+    rows = tuple(x[order] for x in rows)
+    key = rows[0]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    group = np.repeat(head, np.diff(np.r_[head, len(key)]))
+    tied = (rows[1] == rows[1][group]) & (rows[2] == rows[2][group]) & (rows[3] == rows[3][group])  # a row that comes twice is one
+    other = np.zeros(len(key), bool)
+    other[group[~tied]] = True  # heads of groups with another member
+    known = other[group] if everyone else ~tied
+    for sure, part in ((False, tuple(x[head] for x in rows)), (True, _joined(tuple(x[known] for x in rows)) if known.any() else None)):
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(np.full(len(part[0]), sure))], names=[*_MARKED, "sure"])
+
+
+def marked(rows: Iterator[Rows], everyone: bool, size: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Look for equal keys among up to ``size`` rows, or a few more, at a time, before they are shuffled.
+
+    So of a key that a third of all rows have, one row travels for each so many
+    rows; what is sure already travels under keys of its own, by document.
+    """
+    held: list[Rows] = []
+    for part in rows:
+        held.append(part)
+        if sum(len(h[0]) for h in held) >= size:
+            yield from _marked(tuple(np.concatenate(x) for x in zip(*held, strict=True)), everyone)
+            held = []
+    if held and sum(len(h[0]) for h in held):
+        yield from _marked(tuple(np.concatenate(x) for x in zip(*held, strict=True)), everyone)
+
+
+def again(marks: DataFrame, everyone: bool) -> DataFrame:
+    """Return ``(doc_id, version, spans)``: the ranges, ``first`` to ``last``, whose key has an earlier occurrence, or (``everyone``) another one.
+
+    Earlier is by document key, version and place. A row that comes twice isn't
+    another occurrence.
+    """
+    if everyone:
+        same = Window.partitionBy("key", "sure")
+        found = marks.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("other", F.col("n") > 1)
+    else:
+        found = marks.withColumn("other", F.rank().over(Window.partitionBy("key", "sure").orderBy("doc_id", "version", "first")) > 1)
+    return found.where("sure or other").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
