@@ -1,15 +1,18 @@
-"""Dedup of repeated passages by prefix-free parsing.
-
-A text is a line of words. Rolling hashes over word pairs that hit a residue are
-triggers; they cut the line into phrases, and equal passages are cut alike but
-for their ends. The place of a position in the order of all suffixes is then
-given by two parts: its phrase suffix (the words up to the next trigger, an entry
-of the dictionary's suffix order) and the suffix of the parse that starts at that
-trigger. Two suffixes agree over the first LENGTH words if and only if both parts
-do, cut at that depth; so only that depth of the order is made: first classes of
-the parse's suffixes, then, within classes that have several members, classes of
-whole positions. The corpus's suffixes are never sorted in full, and those of
-phrases that occur once aren't looked at again.
+"""Dedup of repeated passages, anchored at rolling-hash triggers.
+
+A text is a line of words. A rolling hash over some words (two fifths of a
+passage) is least at one position of every window of the others: these positions
+are triggers, and cut the line into phrases as prefix-free parsing does. Whether a
+position is a trigger depends only on the words near it, so equal passages are cut
+alike, and each has a trigger of its own with its words.
+
+Prefix-free parsing goes on to sort: it builds the dictionary of phrases, the
+parse, and suffix arrays of both, from which the order of all suffixes of the
+corpus follows. Here nothing is sorted as suffixes. Which positions agree over a
+passage's length asks only for classes, not for an order: first classes of the
+words at triggers, each trigger sent once, then, for passages whose own trigger
+recurs, classes of the whole passages. A suffix order over a partitioned corpus
+would take several shuffles of all positions; classes take one for each depth.
 """
 
 from __future__ import annotations
@@ -18,114 +21,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, span_hashes, text_bytes, words
+from .shared import MARKS, again, marked, slices, span_hashes, text_bytes, unused, words
 
 #: Words of the shortest passage that counts as repeated.
 LENGTH = 50
-#: A trigger falls on one in MODULUS positions.
-MODULUS = 7
-#: Within LENGTH * 2 // 5 words without a trigger every further position is one, so each passage holds some.
 
 
-def _patience(length: int) -> int:
+def _gram(length: int) -> int:
+    """Return the words of a rolling hash: with 20 of 50, every 31 positions have a trigger, on average one in 16."""
     return max(1, length * 2 // 5)
 
 
-def _triggers(hashes: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
-    """Return, for all positions, whether a phrase starts there.
+def _own_triggers(grams: np.ndarray, wide: int) -> np.ndarray:
+    """Return for each position at which a window of ``wide`` positions begins the first of its least."""
+    best, have = np.arange(len(grams)), 1
+    while have < wide:
+        step = min(have, wide - have)
+        a, b = best[:-step], best[step:]
+        best = np.where(grams[b] < grams[a], b, a)
+        have += step
+    return best
+
+
+def _parsed(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Return word hashes, texts' bounds, the places and owners of all passages, and the places and rolling hashes of their triggers."""
+    _, _, hashes, bounds = words(raw, offsets)
+    gram, n = _gram(length), len(hashes)
+    if n < length:
+        nothing = np.empty(0, np.int64)
+        return hashes, bounds, nothing, nothing, nothing, np.empty(0, np.uint64)
+    at = np.arange(n - gram + 1)
+    grams = span_hashes(hashes, at, at + gram)  # those that run on into the next text are in no passage's window
+    trigger = _own_triggers(grams, length - gram + 1)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(trigger)]
+    begin = np.flatnonzero(np.arange(len(trigger)) + length <= bounds[owner + 1])
+    return hashes, bounds, begin, owner[begin], trigger[begin], grams
 
-    A position is a trigger by its own word pair, or if none of the ``patience``
-    positions before it, in its text, is; so whether it is depends on few words
-    before it, and equal passages agree from ``patience`` words on.
-    """
-    n, patience = len(hashes), _patience(length)
-    pairs = span_hashes(hashes, np.arange(n), np.minimum(np.arange(n) + 2, n))
-    natural = pairs % np.uint64(MODULUS) == 0
-    seen = np.maximum.accumulate(np.where(natural, np.arange(n), -1))
-    before = np.r_[-1, seen[:-1]]
-    begin = np.repeat(bounds[:-1], np.diff(bounds))
-    at = np.arange(n)
-    return natural | ((at - np.maximum(before, begin - 1) > patience) & (at - begin >= patience))
-
-
-def _suffixes(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Return hashes of words, bounds of texts, and the start positions, owners and keys of the parse's suffixes at the depth that every passage has."""
-    starts, ends, hashes, bounds = words(raw, offsets)
-    depth = length - 2 * _patience(length)
-    n = len(hashes)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.flatnonzero(_triggers(hashes, bounds, length)) if n else np.empty(0, np.int64)
-    at = at[at + depth <= bounds[owner[at] + 1]] if n else at
-    return starts, ends, hashes, bounds, at, owner, span_hashes(hashes, at, at + depth) if n else np.empty(0, np.uint64)
+
+def _triggers(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Return owners, places and keys of the triggers of all passages."""
+    _, bounds, _, owner, trigger, grams = _parsed(raw, offsets, length)
+    new = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]]) if len(trigger) else trigger
+    return owner[new], trigger[new] - bounds[owner[new]], grams[trigger[new]]
 
 
 def _passages(raw: np.ndarray, offsets: np.ndarray, found: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Return owners, starts and keys of the passages of ``length`` words whose first sure trigger is one that was found to recur."""
-    _, _, hashes, bounds, at, owner, _ = _suffixes(raw, offsets, length)
-    n, patience = len(hashes), _patience(length)
-    begin = np.flatnonzero(np.arange(n) + length <= np.repeat(bounds[1:], np.diff(bounds)))
-    if not len(begin) or not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    recurs = np.zeros(n + 1, bool)
-    for i, positions in enumerate(found):
-        recurs[bounds[i] + positions] = True
-    first = np.searchsorted(at, begin + patience)
-    ok = first < len(at)
-    begin, first = begin[ok], first[ok]
-    begin = begin[recurs[at[first]] & (owner[at[first]] == owner[begin])]
-    own = owner[begin]
-    return own, begin - bounds[own], span_hashes(hashes, begin, begin + length)
+    """Return owners, places and keys of the passages of ``length`` words whose trigger is in one of the ranges found, which recur."""
+    hashes, bounds, begin, owner, trigger, _ = _parsed(raw, offsets, length)
+    edge = np.zeros(len(hashes) + 1, np.int32)
+    for i, ranges in enumerate(found):
+        np.add.at(edge, bounds[i] + ranges[0], 1)
+        np.add.at(edge, bounds[i] + ranges[1] + 1, -1)
+    some = np.cumsum(edge)[trigger] > 0
+    begin, owner = begin[some], owner[some]
+    return owner, begin - bounds[owner], span_hashes(hashes, begin, begin + length) if len(begin) else np.empty(0, np.uint64)
 
 
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
 
+def _rows(batch: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    place = place.astype(np.int32)
+    return keys.view(np.int64), batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner], place, place
+
+
+def _ranges(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Return the firsts and lasts of each list of ranges."""
+    return [(x.values.field(0).to_numpy(), x.values.field(1).to_numpy()) for x in lists]
+
+
 def repeated_words(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Return ``(doc_id, version, words)``: where in each document passages of ``length`` words begin that occur earlier.
+    """Return ``(doc_id, version, spans)``: ranges of words at which passages of ``length`` words begin that occur earlier.
 
-    The parse's suffixes are shuffled once; texts of documents with suffixes that
-    recur are read again for the passages, which are shuffled once.
+    Triggers are shuffled once; texts of documents with triggers that recur are
+    read again for the passages, which are shuffled once. Either way a task sends
+    a key that it sees often only once (see :func:`shared.marked`), so a passage
+    that a third of all documents have is no burden to one task.
     """
     rows = _keyed(docs, text, key)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            _, _, _, bounds, at, owner, keys = _suffixes(*text_bytes(batch.column(2)), length)
-            own = owner[at] if len(at) else at
-            who = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array((at - bounds[own]).astype(np.int32))], names=["suffix", "doc_id", "version", "word"])
+        yield from marked((_rows(batch, *_triggers(*text_bytes(batch.column(2)), length)) for batch in slices(batches)), True)
 
-    suffixes = rows.mapInArrow(parse, "suffix long, doc_id long, version long, word int")
-    classes = suffixes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("suffix"))).where("n > 1")
-    found = classes.groupBy("doc_id", "version").agg(F.collect_set("word").alias("words"))
-    again = rows.join(found, ["doc_id", "version"]).select("doc_id", "version", "text", "words")
+    found = again(rows.mapInArrow(parse, MARKS), True)
+    texts = rows.join(found, ["doc_id", "version"]).select("doc_id", "version", "text", "spans")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lists = batch.column(3)
-            own, start, keys = _passages(*text_bytes(batch.column(2)), [lists[i].values.to_numpy() for i in range(len(lists))], length)
-            who = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(start.astype(np.int32))], names=["passage", "doc_id", "version", "word"])
+        yield from marked((_rows(batch, *_passages(*text_bytes(batch.column(2)), _ranges(batch.column(3)), length)) for batch in slices(batches)), False)
 
-    order = Window.partitionBy("passage").orderBy("doc_id", "version", "word")
-    later = again.mapInArrow(passages, "passage long, doc_id long, version long, word int").withColumn("place", F.rank().over(order)).where("place > 1")
-    return later.groupBy("doc_id", "version").agg(F.collect_set("word").alias("words"))
+    return again(texts.mapInArrow(passages, MARKS), False)
 
 
 def _spans(texts: pa.Array, marks: pa.Array, length: int) -> list[list[dict[str, int]]]:
-    """Return, for texts and the words at which repeated passages begin, the unions of these that overlap or touch."""
+    """Return, for texts and the ranges of words at which repeated passages begin, the unions of these that overlap or touch."""
     raw, offsets = text_bytes(texts)
     starts, ends, _, bounds = words(raw, offsets)
     out = []
-    for i in range(len(texts)):
-        at = np.sort(marks[i].values.to_numpy())
-        cut = np.flatnonzero(np.diff(at) > length)
-        firsts, lasts = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + length - 1
+    for i, (first, last) in enumerate(_ranges(marks)):
+        order = np.argsort(first, kind="stable")
+        first, last = first[order].astype(np.int64), np.maximum.accumulate(last[order].astype(np.int64))
+        cut = np.flatnonzero(first[1:] - last[:-1] > length)
+        firsts, lasts = first[np.r_[0, cut + 1]], last[np.r_[cut, len(last) - 1]] + length - 1
         lo, hi = starts[bounds[i] + firsts] - offsets[i], ends[bounds[i] + lasts] - offsets[i]
         out.append([dict(zip(("first_word", "last_word", "start", "stop"), map(int, x), strict=True)) for x in zip(firsts, lasts, lo, hi, strict=True)])
     return out
@@ -143,11 +144,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 
     A word is a run of letters, digits and non-ASCII characters; case and all
     else are ignored. Rows with a null key or text have no passages; nor do texts
-    under ``length`` words. A row that comes twice isn't a copy of itself; texts
-    with the same key are compared like documents. Other columns don't matter. An
-    empty table gives an empty result.
+    under ``length`` words. Keys must be integers. A row that comes twice isn't a
+    copy of itself; texts with the same key are compared like documents, in the
+    order of ``version``. A text of any length is taken whole; a worker holds it
+    some fifteen times over. Other columns don't matter. An empty table gives an
+    empty result.
     """
-    places = _keyed(docs, text, key).join(repeated_words(docs, length, text, key), ["doc_id", "version"]).select("doc_id", "version", "text", "words")
+    places = _keyed(docs, text, key).join(repeated_words(docs, length, text, key).withColumnRenamed("spans", "marks"), ["doc_id", "version"]).select("doc_id", "version", "text", "marks")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,12 +177,14 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def dedup_passages(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Return the rows of ``docs``, all columns, without passages that occur earlier; the first occurrence stays.
 
-    All rows stay, also those of which no word is left. See :func:`repeated_spans`.
+    All rows stay, also those of which no word is left. Other columns may have
+    any names and types. See :func:`repeated_spans`.
     """
-    found = repeated_words(docs, length, text, key).select(F.col("doc_id").alias("__lw_key"), F.col("version").alias("__lw_version"), F.col("words").alias("__lw_words"))
+    own, version, marks = unused(docs, "own", "version", "marks")
+    found = repeated_words(docs, length, text, key).select(F.col("doc_id").alias(own), F.col("version").alias(version), F.col("spans").alias(marks))
     schema = docs.schema
     index = schema.fieldNames().index(text)
-    joined = docs.join(found, (F.col(key) == F.col("__lw_key")) & (F.xxhash64(F.col(text)) == F.col("__lw_version")), "left").drop("__lw_key", "__lw_version")
+    joined = docs.join(found, (F.col(key).cast("long") == F.col(own)) & (F.xxhash64(F.col(text)) == F.col(version)), "left").drop(own, version)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
