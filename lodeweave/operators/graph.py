@@ -7,6 +7,11 @@ round. What the driver sees of a round is a count or a sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 from lodeweave.storage import Rounds
 
 DAMPING, ITERATIONS = 0.85, 20
+#: Nodes and edges that one task may hold.
+SMALL = 1_000_000
 
 
 def neighbours(edges: DataFrame, wanted: DataFrame, symbols: DataFrame, incoming: bool) -> DataFrame:
@@ -24,8 +31,10 @@ def neighbours(edges: DataFrame, wanted: DataFrame, symbols: DataFrame, incoming
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Return ``(id, out_edges, in_edges)`` with sorted lists."""
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("o"), F.lit(None).cast("string").alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(None).cast("string").alias("o"), F.col("src").alias("i")))
+    """Return ``(id, out_edges, in_edges)`` with sorted lists. Edges are read once: each becomes a row for either end."""
+    none = F.lit(None).cast("string")
+    ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("o"), none.alias("i")), F.struct(F.col("dst").alias("id"), none.alias("o"), F.col("src").alias("i")))
+    both = edges.select(F.explode(ends).alias("e")).select("e.*")
     return both.groupBy("id").agg(F.sort_array(F.collect_set("o")).alias("out_edges"), F.sort_array(F.collect_set("i")).alias("in_edges"))
 
 
@@ -42,7 +51,31 @@ def file_dependencies(edges: DataFrame, symbols: DataFrame, least: int = 1) -> D
     return edges.join(a, "src").join(b, "dst").where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def _ranked_here(rows: DataFrame, iterations: int, damping: float) -> DataFrame:
+    """Return ranks of a graph of bounded size, made by one task: the same rounds, on arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None:
+            return
+        src, dst = (c.combine_chunks() for c in table.columns)
+        nodes = pc.unique(src.filter(pc.is_null(dst)))
+        every = pc.unique(pa.concat_arrays([nodes, src, dst.drop_null()]))  # nodes come first
+        n, size, real = len(nodes), len(every), pc.is_valid(dst)
+        pairs = np.unique(pc.index_in(src.filter(real), every).to_numpy().astype(np.int64) * size + pc.index_in(dst.drop_null(), every).to_numpy())
+        a, b = np.divmod(pairs, size)
+        degree = np.bincount(a, minlength=size)[a]
+        base, rank = 1 / n, np.full(size, 1 / n)
+        for _ in range(iterations):
+            flow = np.bincount(b, rank[a] / degree, size)
+            base = (1 - damping) / n + damping * (1 - flow.sum()) / n
+            rank = base + damping * flow
+        yield pa.RecordBatch.from_arrays([nodes, pa.array(rank[:n])], names=["id", "rank"])
+
+    return rows.coalesce(1).mapInArrow(run, "id string, rank double")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, small: int = SMALL) -> DataFrame:
     """Return ``(id, rank)`` after a fixed number of synchronous rounds.
 
     What a round gathers is the sum that flows into each node; its total tells
@@ -50,18 +83,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     rank is a constant plus a multiple of the flow, ranks themselves are never
     stored, and a round joins the flow to the edges, which stay partitioned by
     source, and sums by target: of the edges nothing but partial sums moves.
+
+    Nodes and edges are written once and counted. Up to ``small`` rows of both
+    (some hundred bytes each) one task makes the same rounds by itself, which
+    saves a job a round; a greater graph is never gathered.
     """
     spark = nodes.sparkSession
     rounds = Rounds(spark, "pagerank")
-    ids = nodes.select("id").distinct()
+    rows = rounds.settle(nodes.select(F.col("id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("src", "dst").where("src is not null and dst is not null")))
+    n, total = rows.agg(F.count_if(F.col("dst").isNull()), F.count(F.lit(1))).first()
+    if total <= small or n == 0:
+        return _ranked_here(rows if n else rows.limit(0), iterations, damping)
+    ids = rounds.settle(rows.where("dst is null").select(F.col("src").alias("id")).distinct())
     n = ids.count()
-    if n == 0:
-        return ids.withColumn("rank", F.lit(0.0))
-    known = edges.select("src", "dst").distinct()
+    known = rows.where("dst is not null").distinct()
     degree = known.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = known.join(degree, "src").persist(StorageLevel.MEMORY_AND_DISK)
     base, flow = 1 / n, None
-    for _ in range(iterations):
+    for k in range(iterations):
         if flow is None:
             share = links.select("dst", (F.lit(base) / F.col("degree")).alias("x"))
         else:
@@ -69,7 +108,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
             share = links.join(flow.withColumnRenamed("id", "src"), "src", "left").select("dst", (rank / F.col("degree")).alias("x"))
         flow = rounds.settle(share.groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("flow")))
         base = (1 - damping) / n + damping * (1 - (flow.agg(F.sum("flow")).first()[0] or 0.0)) / n
-        rounds.forget(1)
+        if k:
+            rounds.forget(1)
     links.unpersist()
     if flow is None:
         return ids.withColumn("rank", F.lit(1 / n))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions.text import squeezed, tokens
+from lodeweave.storage import settled
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"name": 4, "signature": 2, "file": 2, "doc": 1}
@@ -29,6 +30,7 @@ def build(documents: DataFrame, weights: dict[str, int] = WEIGHTS) -> Index:
 
     A document's length is a sum over its own row and goes with its postings, so
     a search needs no join with documents. Those without a token are left out.
+    Postings are partitioned by document, so scores are summed where they lie.
     """
     fields = {f: w for f, w in weights.items() if f in documents.columns}
     total = sum((F.size(tokens(F.col(f))) * w for f, w in fields.items()), F.lit(0)).cast("long")
@@ -38,43 +40,71 @@ def build(documents: DataFrame, weights: dict[str, int] = WEIGHTS) -> Index:
 
     weighted = F.concat(*(weigh(f, w) for f, w in fields.items()))
     sized = documents.select("id", total.alias("length"), weighted.alias("all")).where("length > 0")
-    postings = sized.select("id", "length", F.explode("all").alias("t")).groupBy(F.col("t.term").alias("term"), "id", "length").agg(F.sum("t.w").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    spread = sized.select("id", "length", F.explode("all").alias("t")).select(F.col("t.term").alias("term"), "id", "length", F.col("t.w").alias("w")).repartition("id")
+    postings = spread.groupBy("term", "id", "length").agg(F.sum("w").alias("tf"))
+    terms = term_table(postings)
     stats = documents.select(total.alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     name = F.col("name") if "name" in documents.columns else F.lit("")
     return Index(postings, terms, stats, documents.select("id", name.alias("name"), total.alias("length")).where("length > 0").drop("length"))
 
 
+def term_table(postings: DataFrame) -> DataFrame:
+    """Return ``(term, df)``: the number of documents of each term."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def _first(scored: DataFrame, limit: int) -> DataFrame:
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit)
 
 
 def bm25(index: Index, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Return ``(query_id, id, score, place)``: the best documents for ``queries(query_id, text)``, ties by id."""
+    """Return ``(query_id, id, score, place)``: the best documents for ``queries(query_id, text)``, ties by id.
+
+    The queries' terms, with what they weigh, are written to the shared folder,
+    so their size is known: if they are few, Spark sends them to all postings,
+    which stay with their document, and scores are summed, and all but the best of
+    each query left out, before anything is shuffled. Many are joined by term.
+    """
     limit = limit if limit > 0 else LIMIT
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / length))
-    weighted = index.terms.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(index.stats)  # of stats there is one row
-    scored = asked.join(weighted, "term").join(index.postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    weighted = settled(asked.join(index.terms, "term").crossJoin(index.stats).select("query_id", "term", idf.alias("idf"), length.alias("mean")), "terms")  # of stats there is one row
+    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = index.postings.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return _first(scored, limit)
 
 
+def _most(n: Column) -> Column:
+    """Return the edit distance that a name of length ``n`` allows: a third of it, two at least."""
+    return F.greatest(F.lit(2), F.floor(n / 3).cast("int"))
+
+
 def typos(index: Index, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Return ``(query_id, id, score, place)`` of names within an edit distance of a third of their length, two at least.
 
-    Names can only match a query whose length is as near; so queries are spread
-    to the lengths that can match and joined by length, on distinct names.
+    A name is cut into one piece more than it allows edits, so each query within
+    its reach has one of the pieces unchanged, shifted by no more places than
+    there may be edits. So names are keyed by length and piece, and queries by
+    all their parts that could be such a piece of a name of such a length; only
+    what shares a key is compared. Names of one or two letters, of which there
+    are few different ones, have no pieces and are keyed by length alone.
     """
     limit = limit if limit > 0 else LIMIT
-    near = lambda n: F.greatest(F.lit(2), F.floor(n / 3).cast("int"))
-    names = index.names.select(squeezed(F.col("name")).alias("candidate")).distinct().where("candidate <> ''").withColumn("size", F.length("candidate"))
+    names = index.names.select(squeezed(F.col("name")).alias("candidate")).distinct().where("candidate <> ''").withColumn("size", F.length("candidate")).withColumn("most", _most(F.col("size")))
+    begin = lambda k, n, d: F.floor(k * n / (d + 1)).cast("int")
+    piece = lambda text, k, n, d, shift: F.substring(text, begin(k, n, d) + shift + 1, begin(k + 1, n, d) - begin(k, n, d))
+    keyed = names.withColumn("k", F.explode(F.sequence(F.lit(0), "most"))).select("candidate", "size", "most", "k", piece(F.col("candidate"), F.col("k"), F.col("size"), F.col("most"), F.lit(0)).alias("piece"))
     asked = queries.select(squeezed(F.col("text")).alias("needle")).distinct().where("needle <> ''")
-    sizes = F.filter(F.sequence(F.lit(1), F.length("needle") * 2 + 3), lambda n: F.abs(n - F.length("needle")) <= near(n))
-    pairs = asked.select("needle", F.explode(sizes).alias("size")).join(names, "size").withColumn("limit", near(F.col("size")))
-    close = pairs.withColumn("distance", F.levenshtein("needle", "candidate")).where(F.col("distance") <= F.col("limit"))
+    sizes = F.filter(F.sequence(F.lit(1), F.length("needle") * 2 + 3), lambda n: F.abs(n - F.length("needle")) <= _most(n))
+    spread = asked.select("needle", F.explode(sizes).alias("size")).withColumn("most", _most(F.col("size"))).withColumn("k", F.explode(F.sequence(F.lit(0), "most"))).withColumn("shift", F.explode(F.sequence(-F.col("most"), "most")))
+    wide = begin(F.col("k") + 1, F.col("size"), F.col("most")) - begin(F.col("k"), F.col("size"), F.col("most"))
+    at = begin(F.col("k"), F.col("size"), F.col("most")) + F.col("shift")
+    inside = spread.where((wide == 0) | ((at >= 0) & (at + wide <= F.length("needle"))))
+    parts = inside.select("needle", "size", "k", F.when(wide == 0, F.lit("")).otherwise(piece(F.col("needle"), F.col("k"), F.col("size"), F.col("most"), F.col("shift"))).alias("piece")).distinct()
+    pairs = parts.join(keyed, ["size", "k", "piece"]).select("needle", "candidate", "most").distinct()
+    close = pairs.withColumn("distance", F.levenshtein("needle", "candidate")).where(F.col("distance") <= F.col("most"))
     scored = (
         close.join(queries.select("query_id", squeezed(F.col("text")).alias("needle")), "needle")
         .join(index.names.select("id", squeezed(F.col("name")).alias("candidate")), "candidate")

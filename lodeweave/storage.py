@@ -13,13 +13,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """Return the name of a new folder in the shared folder that the cluster names; a temporary one only where none is set."""
+def _root(spark: SparkSession) -> str:
+    """Return the folder of this application's intermediates in the shared folder that the cluster names.
+
+    Only a session whose driver and tasks are one machine may do without: it
+    gets a temporary folder. Elsewhere that would be a folder that other
+    machines don't see, so it's an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lodeweave/{what}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/lodeweave/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """Return the name of a new folder for intermediates, which all executors see."""
+    return f"{_root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediates of this application; results that weren't written elsewhere can't be read any more."""
+    discard(spark, _root(spark))
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -17,7 +17,7 @@ EVENT = "path string, hash string, ts timestamp, seq long"
 
 def latest_changes(batch: DataFrame) -> DataFrame:
     """Return the last event of each path in a batch; a null hash means that the file went."""
-    return batch.groupBy("path").agg(F.max_by("hash", F.struct("ts", "seq")).alias("hash"), F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    return batch.groupBy("path").agg(F.max_by(F.struct("hash", "ts", "seq"), F.struct("ts", "seq")).alias("r")).select("path", "r.*")
 
 
 def apply_changes(snapshot: DataFrame, batch: DataFrame) -> DataFrame:

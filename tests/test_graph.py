@@ -26,13 +26,23 @@ def slow_rank(nodes, edges, rounds=20, d=0.85):
     return rank
 
 
-def test_pagerank(spark, web):
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_pagerank(spark, web, small):
+    """By rounds of jobs and in one task."""
     nodes = [f"n{i:02d}" for i in range(40)]
-    got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "id string"), table(spark, web)).collect()}
+    got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "id string"), table(spark, web * 2), small=small).collect()}
     want = slow_rank(nodes, web)
     assert abs(sum(got.values()) - 1) < 1e-9 and all(abs(got[n] - want[n]) < 1e-12 for n in nodes)
 
 
+def test_pagerank_of_edges_to_unknown_nodes(spark):
+    """Edges from and to what isn't a node count alike either way."""
+    ids = spark.createDataFrame([("A",), ("B",), ("A",)], "id string")
+    edges = table(spark, [("A", "B"), ("A", "X"), ("X", "B"), ("B", "A"), (None, "A")])
+    a, b = ({r.id: r["rank"] for r in graph.pagerank(ids, edges, small=k).collect()} for k in (0, graph.SMALL))
+    assert a.keys() == b.keys() == {"A", "B"} and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
 def test_pagerank_small(spark):
     ids = spark.createDataFrame([("A",), ("B",)], "id string")
     got = {r.id: r["rank"] for r in graph.pagerank(ids, table(spark, [("A", "B")])).collect()}
@@ -41,6 +51,11 @@ def test_pagerank_small(spark):
     assert {r["rank"] for r in graph.pagerank(ids, table(spark, [("A", "B")]).limit(0)).collect()} == {0.5}
 
 
+def test_adjacency_reads_edges_once(spark, web):
+    plan = graph.adjacency(table(spark, web).where("src <> 'n99'"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Union" not in plan
+
+
 def breadth_first(edges, start, goal):
     seen, queue = {start}, [[start]]
     while queue:

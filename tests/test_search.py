@@ -47,6 +47,39 @@ def test_every_length_that_can_match_is_tried(spark):
         assert {r.id for r in search.typos(made, asked(spark, query), 100).collect()} == near
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_typos_brute(spark):
+    """All names within reach are found, though only those that share a piece are compared."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc_") for _ in range(n))
+    names = sorted({word(rng.randint(1, 14)) for _ in range(150)} | {w[:3] + w[4:] for w in (word(12) for _ in range(20))})
+    queries = [rng.choice(names)[::-1] for _ in range(6)] + [word(n) for n in (1, 2, 3, 5, 8, 11, 16)] + [names[5] + "x", "x" + names[-3][1:], names[20][:-1]]
+    made = index(spark, *((n, n, "", "", "") for n in names))
+    got = {(r.query_id, r.id): r.score for r in search.typos(made, asked(spark, *queries), 1000).collect()}
+    want = {(i, n): 1 / (1 + edits(q, n)) for i, q in enumerate(queries) for n in names if q and edits(q, n) <= max(2, len(n) // 3)}
+    assert got == want and len(got) > 90
+
+
+def test_scores_are_summed_where_postings_lie(spark):
+    """Few queries: terms go to the postings, and no more than a query's best leave a partition."""
+    made = index(spark, *((f"d{i}", f"name{i % 7}", "", "", "some words") for i in range(50)))
+    found = search.bm25(made, asked(spark, "name3 words"), 3)
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#" in plan and ", id#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(query_id" in x)
+
+
 def test_as_of(spark):
     symbols = spark.createDataFrame([("f", 2, "s2"), ("f", 5, "s5b"), ("f", 5, "s5a"), ("g", 1, "t"), ("f", None, "none")], "file string, line int, id string")
     queries = spark.createDataFrame([(i, f, n) for i, (f, n) in enumerate([("f", 1), ("f", 2), ("f", 4), ("f", 5), ("f", 9), ("h", 3), ("f", None), (None, 3)])], "q int, file string, line int")

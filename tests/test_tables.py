@@ -158,6 +158,45 @@ def test_globs_are_valid(pattern):
     re.compile(ignore.glob_regex(pattern))
 
 
+def test_time_and_number_are_of_one_event(spark):
+    """A later event isn't held off by a number that an earlier one of its batch had."""
+    one = lambda *rows: spark.createDataFrame(list(rows), "path string, hash string, t int, seq long").select("path", "hash", F.timestamp_seconds("t").alias("ts"), "seq")
+    rows = [("a", "h1", 2, 1), ("a", "h2", 1, 5), ("a", "h3", 2, 3)]
+    nothing = one(rows[0]).limit(0)
+    for cut in range(4):
+        state = nothing
+        for batch in (rows[:cut], rows[cut:]):
+            state = changes.apply_changes(state, one(*batch)) if batch else state
+        assert [(r.hash, r.seq) for r in state.collect()] == [("h3", 3)]
+
+
+def test_change_counts(spark, tmp_path):
+    rows = [("a", "x", 0, 1), ("a", "y", 30, 2), ("b", "z", 61, 3)]
+    spark.createDataFrame(rows, "path string, hash string, t int, seq long").select("path", "hash", F.timestamp_seconds("t").alias("ts"), "seq").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(changes.EVENT).parquet(str(tmp_path / "in"))
+    changes.change_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.start.minute, r.changes, r.files) for r in spark.table("counts").collect()) == [(0, 2, 1), (1, 1, 1)]
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    """Without a shared folder, only a session on one machine gets a temporary one."""
+    from types import SimpleNamespace
+
+    from lodeweave import storage
+
+    conf = {}
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]", "k8s://h"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(fake(master), "x")
+    assert storage.shared_dir(fake("local[4]"), "x").startswith("file://")
+    path = storage.shared_dir(spark, "kept")
+    spark.range(3).write.parquet(path)
+    storage.discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "events")
     (tmp_path / "events").mkdir()
