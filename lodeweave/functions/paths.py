@@ -12,6 +12,7 @@ EXTENSIONS = {
 }
 #: Extensions for which a language server may be asked.
 SERVED = {".go": "go", ".py": "python", ".rb": "ruby", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
+SUSPICIOUS = ("node_modules/", "vendor/", "dist/")
 ALIASES = {"py": "python", "rb": "ruby", "ts": "typescript", "js": "javascript"}
 _SCRIPT = (".js", ".jsx", ".mjs", ".cjs")
 
@@ -63,6 +64,11 @@ def served_language(path: Column) -> Column:
     return _lookup(F.lower(extension(path)), SERVED)
 
 
+def suspicious(path: Column) -> Column:
+    """Tell whether a path lies in a folder of code that others wrote or that was generated."""
+    return path.rlike("^(" + "|".join(SUSPICIOUS) + ")")
+
+
 def language_set(names: list[str] | None) -> list[str] | None:
     """Return the languages that names and short names mean; none means all. Unknown ones are an error."""
     wanted = sorted({ALIASES.get(n, n) for n in (x.strip().lower() for x in names or []) if n})

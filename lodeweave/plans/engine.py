@@ -12,18 +12,20 @@ import os
 import shutil
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions import ids, paths, text
 from lodeweave.operators import annotations, graph, imports, locate, resolve, search, snapshots
-from lodeweave.sources import ignore, sinks, tree
+from lodeweave.sources import ignore, servers, sinks, tree
 
 #: Versions of the extractors and of what is written; another one than a state's asks for a full build.
 VERSIONS = {"state": "2", "extract": "1", "output": "1"}
-SUSPICIOUS = ("node_modules/", "vendor/", "dist/")
+#: Files and bytes up to which a tree is hashed on the driver to see whether anything changed.
+SMALL_FILES, SMALL_BYTES = 10_000, 64 << 20
 RECORD = ("id", "name", "kind", "signature", "file", "line")
 
 
@@ -56,9 +58,9 @@ class Summary:
     issues: list[str] = field(default_factory=list)
 
 
-def shown(names: list[str], most: int = 8) -> str:
-    """Return names in a line, cut after some with the number of the others."""
-    rest = len(names) - most
+def shown(names: list[str], most: int = 8, total: int | None = None) -> str:
+    """Return names in a line, cut after some with the number of the others, of ``total`` if names are only the first ones."""
+    rest = (len(names) if total is None else total) - most
     return ", ".join(sorted(names)[:most]) + (f", ... (+{rest} more)" if rest > 0 else "")
 
 
@@ -99,21 +101,31 @@ class Engine:
         """Write the state of parsed files and the artifacts; return the artifacts' hashes."""
         folder = uuid.uuid4().hex[:12]
         where = f"file://{self.home}/state/{folder}"
-        save = lambda df, name: (df.write.parquet(f"{where}/{name}"), self.spark.read.parquet(f"{where}/{name}"))[1]
-        files = save(tree.normalized(files), "files")
-        symbols = save(tree.symbol_table(files), "symbols")
-        aliases = save(imports.aliases(files), "aliases")
-        edges = save(resolve.resolve(symbols, tree.call_table(symbols), aliases), "edges")
-        save(graph.file_dependencies(edges, symbols), "dependencies")
-        ranks = save(graph.pagerank(symbols, edges), "ranks")
-        index = search.build(symbols)
-        for name in ("postings", "terms", "stats", "names"):
-            save(getattr(index, name), name)
-        plain = symbols.drop("calls", "pos")
-        if form == "text":
-            sinks.write_text(self.context, files, plain, edges, ranks)
-        else:
-            sinks.write_jsonl(self.context, files, plain, edges)
+
+        def save(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{where}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+        with ThreadPoolExecutor(12) as pool:  # jobs that don't need each other run side by side
+            files = save(tree.normalized(files), "files")
+            later = pool.submit(lambda: save(imports.aliases(files), "aliases"))
+            known = pool.submit(self._remember, files, folder)
+            symbols = save(tree.symbol_table(files), "symbols")
+            index = search.build(symbols)
+            jobs, stats = [pool.submit(save, index.names, "names")], pool.submit(save, index.stats, "stats")
+            postings = pool.submit(save, index.postings, "postings")
+            terms = pool.submit(lambda: save(search.term_table(postings.result()), "terms"))
+            edges = save(resolve.resolve(symbols, tree.call_table(symbols), later.result()), "edges")
+            jobs.append(pool.submit(save, graph.file_dependencies(edges, symbols), "dependencies"))
+            ranks = pool.submit(lambda: save(graph.pagerank(symbols, edges), "ranks"))
+            plain = symbols.drop("calls", "pos")
+            jobs.append(pool.submit(lambda: sinks.write_indexes(self.context, plain, edges, postings.result(), terms.result(), stats.result())))
+            if form == "text":
+                sinks.write_text(self.context, files, plain, edges, ranks.result, pool)
+            else:
+                sinks.write_jsonl(self.context, files, plain, edges, pool)
+            for job in (*jobs, ranks, known):
+                job.result()
         hashes = {}
         for at, _, names in os.walk(self.context):
             for name in names:
@@ -126,6 +138,13 @@ class Engine:
             shutil.rmtree(f"{self.home}/state/{old}", ignore_errors=True)
         return hashes
 
+    def _remember(self, files: DataFrame, folder: str) -> None:
+        """Note the hashes of a small tree's files beside the state, so that a later update needs no job to see that nothing changed."""
+        stale = (F.coalesce("language", F.lit("")) == "") & (F.size("symbols") == 0)
+        rows = files.select("path", F.when(stale, F.lit("")).otherwise(F.col("hash")).alias("hash")).limit(SMALL_FILES + 1).collect()
+        if len(rows) <= SMALL_FILES:
+            sinks.publish(f"{self.home}/state/{folder}/hashes.json", json.dumps({r.path: r.hash for r in rows}).encode())
+
     def _folder(self) -> str | None:
         try:
             pointer = self._pointer()
@@ -155,12 +174,23 @@ class Engine:
         issues += [r.issue for r in self.table("files").where("issue <> ''").select("issue").collect()]
         return Summary(scanned=len(found), parsed=self.table("files").count(), rewritten=self._rewritten(before, after), issues=issues)
 
-    def _difference(self) -> tuple[DataFrame, list, DataFrame]:
+    def _difference(self) -> tuple[list[str], list[str], list]:
+        """Return the paths that changed and those that are gone, and the files found.
+
+        A small tree is hashed here and held against the hashes noted with the
+        state; a greater one is hashed by tasks and compared by a join.
+        """
         found, _ = tree.listed(self.root, self._rules(), strict=True)
-        old = self.table("files")
+        path = f"{self.home}/state/{self._folder()}/hashes.json"
+        if len(found) <= SMALL_FILES and sum(size for _, _, size in found) <= SMALL_BYTES and os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                old = json.load(f)
+            now = {p: tree.digest(os.path.join(self.root, p)) for p, _, _ in found}
+            return sorted(p for p, h in now.items() if old.get(p) != h), sorted(old.keys() - now.keys()), found
         now = tree.hashes(self.spark, self.root, found) if found else self.spark.createDataFrame([], "path string, hash string")
         stale = (F.coalesce("language", F.lit("")) == "") & (F.size("symbols") == 0)
-        return snapshots.difference(old, now, stale), found, old
+        rows = snapshots.difference(self.table("files"), now, stale).collect()  # of what changed, which the summary lists
+        return *(sorted(r.path for r in rows if (r.change == "deleted") == gone) for gone in (False, True)), found
 
     def _snapshot(self, files: DataFrame) -> DataFrame:
         own = self.table("dependencies").groupBy(F.col("src_file").alias("path")).agg(F.sort_array(F.collect_set("dst_file")).alias("deps"))
@@ -174,15 +204,15 @@ class Engine:
     def status(self) -> Summary:
         """Tell what an update would do, from what was known before the changes."""
         try:
-            change, found, old = self._difference()
+            self._pointer()
         except ValueError:
             found, _ = tree.listed(self.root, self._rules())
             names = [p for p, _, _ in found]
             return Summary(scanned=len(found), parsed=len(found), changed=names, reasons={n: ["changed"] for n in names})
-        rows = change.collect()
-        changed, deleted = (sorted(r.path for r in rows if (r.change == "deleted") == gone) for gone in (False, True))
+        old = self.table("files")
+        changed, deleted, found = self._difference()
         frame = lambda names: self.spark.createDataFrame([(n,) for n in names], "path string")
-        reasons = self._impact(self.table("symbols"), old, frame(changed), frame(deleted)) if rows else {}
+        reasons = self._impact(self.table("symbols"), old, frame(changed), frame(deleted)) if changed or deleted else {}
         return Summary(len(found), len(changed), max(len(found) - len(changed), 0), 0, changed, deleted, reasons)
 
     def update(self, form: str | None = None) -> Summary:
@@ -194,14 +224,13 @@ class Engine:
         if pointer is None or pointer.get("versions") != VERSIONS:
             return self.generate(form=form)
         form = sinks.checked_format(form or pointer.get("format"))
-        change, found, old = self._difference()
-        rows = change.collect()
+        changed, deleted, found = self._difference()
         before = pointer.get("outputs", {})
-        changed, deleted = (sorted(r.path for r in rows if (r.change == "deleted") == gone) for gone in (False, True))
-        if not rows:
+        if not changed and not deleted:
             missing = form != pointer.get("format") or not before or any(not os.path.exists(os.path.join(self.context, n)) for n in before)
-            after = self._publish(old, form, before) if missing else before
+            after = self._publish(self.table("files"), form, before) if missing else before
             return Summary(len(found), 0, len(found), self._rewritten(before, after))
+        old = self.table("files")
         wanted = set(changed)
         fresh = tree.parsed(self.spark, self.root, [x for x in found if x[0] in wanted]).persist()
         bad = fresh.where("hash is null").select("issue").first()
@@ -234,12 +263,17 @@ class Engine:
             missing += [n for n in pointer.get("outputs", {}) if not os.path.exists(os.path.join(self.context, n))]
             summary = self.status()
             clean = not summary.changed and not summary.deleted
-            suspicious = sorted(r.path for r in self.table("files").where(F.col("path").rlike("^(" + "|".join(SUSPICIOUS) + ")")).select("path").collect())
+            suspicious = sorted(r.path for r in self.table("files").where(paths.suspicious(F.col("path"))).select("path").collect())
             if not clean:
                 suggestions.append("run update")
             if suspicious:
                 suggestions.append("ignore " + shown(suspicious))
-        return {"format": form, "clean": clean, "missing": missing, "suspicious": len(suspicious), "suspicious_paths": suspicious[:8], "suggestions": suggestions, "healthy": clean and form != "none" and not missing}
+        present = servers.presence(p for p, _, _ in tree.listed(self.root, self._rules())[0])
+        return {"servers": servers.capabilities(present), "format": form, "clean": clean, "missing": missing, "suspicious": len(suspicious), "suspicious_paths": suspicious[:8], "suggestions": suggestions, "healthy": clean and form != "none" and not missing}
+
+    def has_sources(self) -> bool:
+        """Tell whether there is a file to parse."""
+        return bool(tree.listed(self.root, self._rules())[0])
 
     # --- Asking
 
@@ -248,12 +282,17 @@ class Engine:
 
     def resolve_one(self, query: str) -> dict:
         """Return the record of the one symbol that a query means."""
-        rows = exact(self._symbols().select(*RECORD), query).orderBy("id").limit(20).collect()
+        return self._only(exact(self._symbols().select(*RECORD), query), ["id"], query, lambda r: r.id).asDict()
+
+    @staticmethod
+    def _only(found: DataFrame, order: list[str], query: str, name: Callable[[Row], str], most: int = 5) -> Row:
+        """Return the one row found; where there are more, some are named and all are counted."""
+        rows = found.orderBy(*order).limit(most + 1).collect()
         if not rows:
             raise NotFound(query)
         if len(rows) > 1:
-            raise Ambiguous(f"{query}: {shown([r.id for r in rows], 5)}")
-        return rows[0].asDict()
+            raise Ambiguous(f"{query} matched {shown([name(r) for r in rows[:most]], most, len(rows) if len(rows) <= most else found.count())}")
+        return rows[0]
 
     def symbol(self, query: str, fuzzy: bool = False, limit: int = search.LIMIT) -> DataFrame:
         """Return symbols by id or name, and, if ``fuzzy`` and there is none, by search."""
@@ -310,6 +349,10 @@ class Engine:
                 return self.resolve_one(row.id)
         return one
 
+    def server_of(self, query: str) -> dict:
+        """Tell which language server could be asked about a symbol, and whether it's there, or why not."""
+        return servers.status(self.definition(query)["file"])
+
     def references(self, query: str, server: str | None = None) -> DataFrame:
         """Return the symbols that refer to one, by parsed edges or by what a server says."""
         one = self.definition(query)
@@ -323,7 +366,8 @@ class Engine:
         rows = self.spark.createDataFrame(list(enumerate(lines)), "pos int, line string")
         at = rows.select("pos", text.tool_location(F.col("line")).alias("at")).where("at is not null").select("pos", "at.*")
         inside = at.withColumn("file", F.when(F.startswith("file", F.lit(self.root + "/")), F.substring("file", len(self.root) + 2, 1 << 20)).otherwise(F.col("file")))
-        return inside.groupBy("file", "line", "column").agg(F.min("pos").alias("pos"))
+        one = inside.where("line > 0").withColumn("column", F.greatest("column", F.lit(1)))
+        return one.groupBy("file", "line", "column").agg(F.min("pos").alias("pos")).orderBy("file", "line", "column")
 
     # --- Annotations
 
@@ -343,15 +387,12 @@ class Engine:
 
     def enrich(self, selector: str, summary: str, now: str, purpose: str = "agent", effects: str = "none", confidence: str = "medium", profile: str = "default", model: str = "", prompt: str = "") -> dict:
         """Annotate the one symbol that a selector means; ``now`` is the time to note."""
-        if not (summary.strip() and purpose.strip() and effects.strip()) or confidence not in annotations.LEVELS:
+        if not self.spark.range(1).select(annotations.valid(*[F.lit(x) for x in (summary, purpose, effects, confidence)])).first()[0]:
             raise ValueError("an annotation needs three texts and a confidence of low, medium or high")
         known = self._symbols()
         chosen = known.where(annotations.matches(F.lit(selector), F.col("file"), F.col("id"), F.col("name"), F.col("line")))
-        rows = chosen.join(self.table("files").select(F.col("path").alias("file"), "hash"), "file").select("id", "file", "line", "name", "hash").orderBy("file", "line").limit(50).collect()
-        if len(rows) != 1:
-            names = [f"{r.file}:{r.line}:{r.name}" for r in rows]
-            raise Ambiguous(f"{selector} matched {shown(names, 5)}") if rows else NotFound(selector)
-        row = rows[0]
+        meant = chosen.join(self.table("files").select(F.col("path").alias("file"), "hash"), "file").select("id", "file", "line", "name", "hash")
+        row = self._only(meant, ["file", "line"], selector, lambda r: f"{r.file}:{r.line}:{r.name}")
         one = self.spark.createDataFrame([(row.id, profile, model, prompt, "", row.hash, now, now, summary, purpose, effects, confidence)], self.CACHE)
         one = one.withColumn("cache_key", ids.cache_key(F.col("symbol_id"), F.col("file_hash"), F.col("prompt_version"), F.col("profile"), F.col("model")))
         merged = annotations.upsert(self.annotation_table(), one).orderBy("symbol_id", "profile", "cache_key")
@@ -360,6 +401,14 @@ class Engine:
         return self.annotation_table().where(F.col("symbol_id") == row.id).where(F.col("profile") == profile).first().asDict()
 
 
+def work_items(engine: Engine, files: list[str]) -> DataFrame:
+    """Return ``(place, symbol_id, ...)``: the records to annotate of some files, in the files' order, then by line and id; unknown files have none."""
+    wanted = engine.spark.createDataFrame(list(enumerate(files)), "place int, file string").groupBy("file").agg(F.min("place").alias("place"))
+    chosen = engine.table("symbols").join(wanted, "file")
+    made = annotations.records(chosen.drop("place"), engine.table("files"), engine.table("edges"))
+    return made.join(chosen.select(F.col("id").alias("symbol_id"), "place"), "symbol_id").orderBy("place", "input.symbol.line", "symbol_id")
+
+
 def present_languages(files: DataFrame) -> DataFrame:
     """Return one row that tells for each language whether a path has it."""
     language: Column = paths.served_language(F.col("path"))

@@ -514,4 +514,7 @@ def render_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeweave.sources import sinks
 
     files = P.symbols(spark, sf_dir).select(F.col("file").alias("path")).distinct().withColumn("imports", F.array().cast("array<string>"))
-    return sinks.file_sections(files, P.symbols(spark, sf_dir), _edges(spark, sf_dir))
+    return sinks.file_sections(files, P.symbols(spark, sf_dir), settled(_edges(spark, sf_dir), "edges"))
+
+
+from lodeweave.plans import records as _records  # noqa: E402, F401  (registers further queries)

@@ -1,7 +1,9 @@
 """Go, Ruby, TypeScript and JavaScript by scanning: strings and comments are blanked, then brackets are matched.
 
-This isn't a grammar: what only a parser can tell (types in generic arguments,
-regular expressions that look like division, heredocs) may be missed.
+Regular expressions are told from division by what stands before them, as
+scripts and Ruby allow either; what stands in a template's ``${}`` is code; a
+heredoc's lines are a string. This isn't a grammar: calls with type arguments
+are seen only where these follow the name without a blank.
 """
 
 from __future__ import annotations
@@ -16,23 +18,103 @@ _OPEN, _CLOSE = "([{", ")]}"
 _NAME = r"[A-Za-z_$][\w$]*"
 
 
-def blanked(source: str, line_comment: str, block: bool, quotes: str) -> str:
+_BLANK = re.compile(r"[^\n]")
+_BEFORE_REGEX = {"script": re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>\n]|\b(?:return|typeof|case|in|of|delete|void|instanceof|new|do|else|yield|await))$"), "ruby": re.compile(r"(?:^|[(,=:\[!&|?{};~\n]|\b(?:if|unless|when|and|or|not|while|until|return|elsif|then))$")}
+_HEREDOC = re.compile(r"(?:(?<=[\s(,=])|^)<<([~-]?)([\"'`]?)([A-Z_]\w*)\2")
+_LITERAL = re.compile(r"%[wWiIqQrx]?([\[({<|!])")
+_PAIRS = {"[": "]", "(": ")", "{": "}", "<": ">"}
+
+
+def _blank(text: str) -> str:
+    return _BLANK.sub(" ", text)
+
+
+def without_heredocs(source: str) -> str:
+    """Return Ruby source, as long as before, in which heredocs are strings and their lines blank."""
+    out, waiting = [], []
+    for line in source.split("\n"):
+        if waiting:
+            loose, tag = waiting[0]
+            if (line.strip() if loose else line.rstrip("\r")) == tag:
+                waiting.pop(0)
+            out.append(" " * len(line))
+            continue
+        head = line.partition(" #")[0] if not line.lstrip().startswith("#") else ""
+        found = list(_HEREDOC.finditer(head))
+        waiting += [(bool(m[1]), m[3]) for m in found]
+        for m in found:
+            line = line[: m.start()] + '"' + " " * (m.end() - m.start() - 2) + '"' + line[m.end() :]
+        out.append(line)
+    return "\n".join(out)
+
+
+def _regex_end(source: str, at: int) -> int:
+    """Return the place after the slash that ends a regular expression; 0 if none does on its line."""
+    inside = False
+    while at < len(source) and source[at] != "\n":
+        if source[at] == "\\":
+            at += 1
+        elif source[at] == "[":
+            inside = True
+        elif source[at] == "]":
+            inside = False
+        elif source[at] == "/" and not inside:
+            return at + 1
+        at += 1
+    return 0
+
+
+def blanked(source: str, line_comment: str, block: bool, quotes: str, flavour: str = "") -> str:
     """Return the source, as long as before, with comments and the insides of strings as blanks."""
-    stops = [re.escape(q) for q in quotes] + [re.escape(line_comment)] + ([r"/\*"] if block else [])
+    stops = [re.escape(q) for q in quotes] + [re.escape(line_comment)] + ([r"/\*"] if block else []) + (["/"] if flavour else []) + ([_LITERAL.pattern.replace("(", "(?:", 1)] if flavour == "ruby" else [])
     start = re.compile("|".join(stops))
     out, at = [], 0
-    blank = lambda s: re.sub(r"[^\n]", " ", s)
     while m := start.search(source, at):
         out.append(source[at : m.start()])
         token = m[0]
         if token == line_comment:
             end = source.find("\n", m.end())
             end = len(source) if end < 0 else end
-            out.append(blank(source[m.start() : end]))
+            out.append(_blank(source[m.start() : end]))
         elif token == "/*":
             end = source.find("*/", m.end())
             end = len(source) if end < 0 else end + 2
-            out.append(blank(source[m.start() : end]))
+            out.append(_blank(source[m.start() : end]))
+        elif token == "/":
+            before = "".join(out)[-40:].rstrip(" \t")
+            end = _regex_end(source, m.end()) if _BEFORE_REGEX[flavour].search(before) else 0
+            out.append("/" + _blank(source[m.end() : end - 1]) + "/" if end else "/")
+            end = end or m.end()
+        elif token[0] == "%":
+            before = "".join(out)[-1:]
+            close, depth, end = _PAIRS.get(token[-1], token[-1]), 1, m.end()
+            while depth and end < len(source):
+                depth += (source[end] == token[-1] and token[-1] in _PAIRS) - (source[end] == close)
+                end += 1
+            if len(token) == 2 and (before.isalnum() or before in "_)]} "):  # a remainder
+                end = m.end()
+                out.append(token)
+            else:
+                out.append('"' + _blank(source[m.start() + 1 : end - 1]) + '"')
+        elif token == "`" and flavour == "script":
+            end, piece = m.end(), m.end()
+            out.append(token)
+            while end < len(source) and source[end] != token:
+                if source.startswith("${", end):
+                    out.append(_blank(source[piece:end]) + " (")
+                    inner, depth = end + 2, 1
+                    end = inner
+                    while end < len(source) and depth:
+                        depth += (source[end] == "{") - (source[end] == "}")
+                        end += 1
+                    out.append(blanked(source[inner : end - 1], line_comment, block, quotes, flavour) + ")" * (depth == 0))
+                    piece = end
+                else:
+                    end += 2 if source[end] == "\\" else 1
+            end = min(end, len(source))
+            closed = end < len(source)
+            out.append(_blank(source[piece:end]) + token * closed)
+            end += closed
         else:
             end = m.end()
             while end < len(source) and source[end] != token:
@@ -41,7 +123,7 @@ def blanked(source: str, line_comment: str, block: bool, quotes: str) -> str:
                 end += 2 if source[end] == "\\" else 1
             end = min(end, len(source))
             closed = end < len(source) and source[end] == token
-            out.append(token + blank(source[m.end() : end]) + token * closed)
+            out.append(token + _blank(source[m.end() : end]) + token * closed)
             end += closed
         at = end
     out.append(source[at:])
@@ -102,8 +184,9 @@ def _operand(masked: str, dot: int) -> int:
 class Source:
     """A file's text, its blanked form, and line numbers."""
 
-    def __init__(self, source: str, line_comment: str, block: bool, quotes: str):
-        self.text, self.masked = source, blanked(source, line_comment, block, quotes)
+    def __init__(self, source: str, line_comment: str, block: bool, quotes: str, flavour: str = ""):
+        self.text, self.masked = source, blanked(without_heredocs(source) if flavour == "ruby" else source, line_comment, block, quotes, flavour)
+        self.generic = flavour == "script"
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
 
     def line(self, at: int) -> int:
@@ -128,7 +211,8 @@ class Source:
     def calls(self, a: int, b: int, keywords: frozenset[str], receivers: tuple[str, ...] | None) -> list[Call]:
         """Return the calls with brackets in a stretch; ``receivers`` None takes every qualifier as receiver."""
         out = []
-        for m in re.compile(rf"({_NAME})\s*(?:\?\.)?\(").finditer(self.masked, a, b):
+        types = r"(?:<[\w\s,.\[\]|&<>?:{};$]*>)?" if self.generic else ""
+        for m in re.compile(rf"({_NAME})(?:{types}|\s*)(?:\?\.)?\(").finditer(self.masked, a, b):
             name, start, end = m[1], m.start(1), m.end(1)
             before = self.masked[:start].rstrip()[-1:] if start else ""
             head, qualifier = start, ""
@@ -270,7 +354,7 @@ def _js_result(s: Source, at: int) -> tuple[str, int]:
 
 def script(path: str, content: bytes) -> Extract:
     """Extract TypeScript or JavaScript: functions, classes with methods, interfaces, type aliases, and constants that are functions."""
-    s = Source(content.decode("utf-8", "replace"), "//", True, "\"'`")
+    s = Source(content.decode("utf-8", "replace"), "//", True, "\"'`", "script")
     out = Extract()
     for m in re.finditer(r"(?m)^[ \t]*import\b(?!\s*\()[^;'\"`]*?([\"'])", s.masked):
         end = s.masked.find(m[1], m.end())
@@ -374,7 +458,7 @@ _RB_NAME = r"[A-Za-z_]\w*[?!]?"
 
 def ruby(path: str, content: bytes) -> Extract:
     """Extract Ruby: methods, singleton methods (named with ``self.``), classes, modules, and what is required."""
-    s = Source(content.decode("utf-8", "replace"), "#", False, "\"'")
+    s = Source(content.decode("utf-8", "replace"), "#", False, "\"'", "ruby")
     out = Extract()
     open_: list[tuple[str, Symbol | None]] = []
     for k, line in enumerate(s.masked.split("\n")):

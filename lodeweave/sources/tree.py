@@ -68,44 +68,67 @@ def _spread(spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame
     return rows.repartition(slots, "path")
 
 
+def digest(path: str) -> str:
+    """Return the first 16 hex digits of the SHA-256 of a file."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()[:16]
+
+
 def hashes(spark: SparkSession, root: str, found: list[tuple[str, str, int]]) -> DataFrame:
     """Return ``(path, hash)``: contents are read by tasks and only hashed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            digests = []
-            for path in frame["path"]:
-                with open(os.path.join(root, path), "rb") as f:
-                    digests.append(hashlib.file_digest(f, "sha256").hexdigest()[:16])
-            yield pd.DataFrame({"path": frame["path"], "hash": digests})
+            yield pd.DataFrame({"path": frame["path"], "hash": [digest(os.path.join(root, path)) for path in frame["path"]]})
 
     return _spread(spark, found).mapInPandas(run, "path string, hash string")
 
 
+_COLUMNS = ["path", "language", "hash", "content", "imports", "import_aliases", "symbols", "issue"]
+
+
+def _parsed_row(path: str, language: str, content: bytes) -> tuple:
+    from dataclasses import asdict
+
+    from lodeweave.sources.extract import extract
+
+    got = extract(language, path, content)
+    return (path, language, hashlib.sha256(content).hexdigest()[:16], content.decode("utf-8", "replace"), got.imports, got.aliases, [asdict(x) for x in got.symbols], got.issue)
+
+
 def parsed(spark: SparkSession, root: str, found: list[tuple[str, str, int]]) -> DataFrame:
     """Return a row of ``FILES`` for each file: what it holds, or the issue."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from dataclasses import asdict
-
-        from lodeweave.sources.extract import extract
-
         for frame in frames:
             rows = []
             for path, language in zip(frame["path"], frame["language"], strict=True):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        content = f.read()
+                        rows.append(_parsed_row(path, language, f.read()))
                 except OSError as error:
                     rows.append((path, language, None, None, [], {}, [], str(error)))
-                    continue
-                got = extract(language, path, content)
-                rows.append((path, language, hashlib.sha256(content).hexdigest()[:16], content.decode("utf-8", "replace"), got.imports, got.aliases, [asdict(x) for x in got.symbols], got.issue))
-            yield pd.DataFrame(rows, columns=["path", "language", "hash", "content", "imports", "import_aliases", "symbols", "issue"])
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return _spread(spark, found).mapInPandas(run, FILES)
 
 
+def parsed_table(sources: DataFrame) -> DataFrame:
+    """Return a row of ``FILES`` for each row of ``sources(path, content)`` with a language: for source files that lie in a table.
+
+    Each batch is parsed where it is, without a shuffle. A null content is empty.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([_parsed_row(p, lang, bytes(c)) for p, lang, c in zip(frame["path"], frame["language"], frame["content"], strict=True)], columns=_COLUMNS)
+
+    from lodeweave.functions.paths import language_of
+
+    rows = sources.select("path", language_of(F.col("path")).alias("language"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).where("language is not null")
+    return rows.mapInPandas(run, FILES)
+
+
 def normalized(files: DataFrame) -> DataFrame:
     """Return parsed files with imports and aliases in order."""
     from lodeweave.functions.text import alias_map, string_set

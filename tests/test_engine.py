@@ -87,8 +87,13 @@ def test_jsonl_is_the_same_each_time(spark, tmp_path):
     put(tmp_path, "demo.go", DEMO)
     engine = Engine(spark, str(tmp_path))
     summary = engine.generate(form="jsonl")
-    assert summary.rewritten == 3
+    assert summary.rewritten == 5  # with both indexes
     data = {n: (tmp_path / ".lodeweave/context" / n).read_bytes() for n in sinks.JSONL}
+    nav, found = (json.loads((tmp_path / ".lodeweave/context" / n).read_text()) for n in sinks.INDEXES)
+    assert nav["version"] and [(n["name"], len(n["out_edges"]), len(n["in_edges"])) for n in nav["nodes"]] == [("Start", 1, 0), ("Mid", 1, 1), ("End", 0, 1)]
+    assert nav["nodes"][0]["out_confidence"][0]["confidence"] == "resolved"
+    assert found["document_count"] == 3 and found["doc_freq"]["demo"] == 3 and [d["terms"]["demo"] for d in found["documents"]] == [2, 2, 2]
+    assert found["avg_doc_length"] == sum(d["length"] for d in found["documents"]) / 3
     assert engine.generate(form="jsonl").rewritten == 0
     assert data == {n: (tmp_path / ".lodeweave/context" / n).read_bytes() for n in sinks.JSONL}
     manifest = json.loads(data["manifest.json"])
@@ -145,6 +150,43 @@ def test_languages_and_empty_tree(spark, tmp_path):
         tree.listed(str(tmp_path / "none"))
 
 
+def test_many_symbols_of_one_name(spark, tmp_path):
+    """An ambiguous name tells some of the ids and the number of all others."""
+    for i in range(60):
+        put(tmp_path, f"p{i:02}/a.go", "package p\n\nfunc same() {}\n")
+    engine = Engine(spark, str(tmp_path))
+    engine.generate()
+    with pytest.raises(Ambiguous, match=r"\(\+55 more\)"):
+        engine.callers("same")
+    with pytest.raises(Ambiguous, match=r"\(\+55 more\)"):
+        engine.enrich("same", "x", "now")
+
+
+def test_work_items(demo):
+    from lodeweave.plans.engine import work_items
+
+    _, engine, _ = demo
+    rows = work_items(engine, ["pkg/a.rb", "no.go", "demo.go"]).collect()
+    assert [(r.input.symbol.path, r.input.symbol.name) for r in rows] == [("pkg/a.rb", "helper"), ("pkg/a.rb", "run"), ("demo.go", "Start"), ("demo.go", "Mid"), ("demo.go", "End")]
+    assert rows[2].input.calls and not rows[2].input.called_by
+
+
+def test_small_and_large_trees_tell_the_same(spark, tmp_path, monkeypatch):
+    """What changed is found by hashes noted with the state, or, beyond a size, by a join."""
+    from lodeweave.plans import engine as module
+
+    for i in range(5):
+        put(tmp_path, f"f{i}.go", f"package p\n\nfunc F{i}() {{}}\n")
+    engine = Engine(spark, str(tmp_path))
+    engine.generate()
+    put(tmp_path, "f1.go", "package p\n\nfunc Other() {}\n")
+    put(tmp_path, "g.go", "package p\n")
+    os.remove(tmp_path / "f4.go")
+    small = engine.status()
+    monkeypatch.setattr(module, "SMALL_FILES", 0)
+    assert vars(engine.status()) == vars(small) and (small.changed, small.deleted) == (["f1.go", "g.go"], ["f4.go"])
+
+
 def test_throughput_tree(spark, tmp_path):
     for i in range(60):
         put(tmp_path, f"pkg{i % 10}/file_{i:03}.go", f"package p\n\nfunc Func_{i}() {{ helper_{i}() }}\n\nfunc helper_{i}() {{}}\n")

@@ -166,3 +166,53 @@ def test_awkward():
         for content in (b"", b"\xff\xfe\x00", b"((((", b'"', b"func (", b"/*", b"class", b"def f(", b"x" * 100_000):
             extract(language, "x", content)
     assert extract("cobol", "x", b"").issue
+
+
+def test_scripts_with_expressions_templates_and_type_arguments():
+    source = """
+export function first(rows: string[]): string {
+  const pattern = /[/"'`(]{2}\\/fake(1)/g;
+  const half = total(rows) / count(rows) / 2;
+  return wrap<Map<string, number>>(`a ${inner(rows, `${deep()}`)} outside(1)`, pattern) + rest;
+}
+
+function second() {
+  return /x(/.test(name()) ? make<Thing>() : a < b && c > (d);
+}
+"""
+    got = extract("typescript", "a.ts", source.encode())
+    assert [(s.name, s.line, [c.name for c in s.calls]) for s in got.symbols] == [
+        ("first", 2, ["total", "count", "wrap", "inner", "deep"]), ("second", 8, ["test", "name", "make"]),
+    ]
+    assert next(c.arity for c in got.symbols[0].calls if c.name == "wrap") == 2
+
+
+def test_ruby_with_heredocs_and_literals():
+    source = """
+class A
+  def one
+    text = run(<<~SQL, 2)
+      def not_a_method(x)
+        fake(1)
+      end
+    SQL
+    check(text)
+    words = %w[fake(2) end def]
+    words << VALUE
+    return match(/def (fake)(3)/, total(4) / 2) if text =~ /end "/
+  end
+
+  def two
+    other(<<-ONE, <<TWO)
+      class Fake
+      ONE
+  end fake(4)
+TWO
+    last(100 % 7)
+  end
+end
+"""
+    got = extract("ruby", "a.rb", source.encode())
+    assert [(s.kind, s.name, s.line, [(c.name, c.arity) for c in s.calls]) for s in got.symbols] == [
+        ("class", "A", 2, []), ("method", "one", 3, [("run", 2), ("check", 1), ("match", 2), ("total", 1)]), ("method", "two", 15, [("other", 2), ("last", 1)]),
+    ]
