@@ -44,7 +44,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Return the groups of near duplicates among all documents."""
+    """Return the groups of near duplicates among all documents, and how many links each has."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE, "op9_sharding": sharding.ORACLE, "op10_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op8_line_dedup": linededup.ORACLE, "op9_sharding": sharding.ORACLE, "op10_quality_rules": rules.ORACLE}

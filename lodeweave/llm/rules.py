@@ -28,7 +28,7 @@ class Rule:
 
 #: Rules in order; the first that fails is the reason given.
 RULES = (
-    Rule("n_words", 1, 1_000_000),
+    Rule("n_words", 1, None),
     Rule("mean_word_length", 2, 12),
     Rule("symbols_per_word", None, 0.35, 10),
     Rule("upper_share", None, 0.35, 10),
@@ -88,7 +88,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     lines are those with a word; an empty or null text has no word and fails
     ``n_words``. Rules with a word count don't bind shorter documents. Repeated
     rows are judged alike, an empty table gives an empty result, a null key
-    stays null, and other columns of any name don't matter.
+    stays null, a text of any length is judged whole and never rejected for its
+    length, and other columns of any name don't matter.
     """
     df = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
     for layer in _measures("__text"):

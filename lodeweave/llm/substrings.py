@@ -200,3 +200,20 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return joined.mapInArrow(cut, T.StructType(schema.fields))
+
+
+_UPPER = "".join(chr(c) for c in (*range(0x41, 0x5B), *range(0xC0, 0xDF)) if c != 0xD7)
+_LOWER = "".join(chr(ord(c) + 32) for c in _UPPER)
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Passages are compared as texts, for documents of which each has a key of its own.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS low FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT doc_id, regexp_extract_all(low, '{_WORD}') AS ws, string_split_regex(low, '{_WORD}') AS gaps FROM d),
+u AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap FROM a),
+b AS (SELECT doc_id, i, w, CAST(sum(strlen(gap) + strlen(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM u),
+p AS (SELECT doc_id, i, string_agg(w, ' ') OVER o AS passage, lead(i, {LENGTH - 1}) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING)),
+r AS (SELECT doc_id, i, rank() OVER (PARTITION BY passage ORDER BY doc_id, i) AS place FROM p WHERE last IS NOT NULL),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM r WHERE place > 1),
+s AS (SELECT doc_id, min(i) AS first, max(i) + {LENGTH - 1} AS last FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g) GROUP BY doc_id, span)
+SELECT s.doc_id, CAST(s.first - 1 AS INTEGER) AS first_word, CAST(s.last - 1 AS INTEGER) AS last_word, x.stop - strlen(x.w) AS start, y.stop AS stop FROM s JOIN b x ON x.doc_id = s.doc_id AND x.i = s.first JOIN b y ON y.doc_id = s.doc_id AND y.i = s.last
+"""

@@ -27,7 +27,7 @@ TRAIN_BYTES = 2 * FILE_BYTES
 LEVEL = 6
 #: The first four bytes of the skippable frame that holds the dictionary.
 SKIPPABLE = 0x184D2A5D
-#: All records carry this date, so an archive has the same bytes whenever it is written.
+#: The date of records whose table has none: fixed, so an archive has the same bytes whenever it is written.
 DATE = datetime(2024, 1, 1, tzinfo=UTC)
 
 SCHEMA = T.StructType([
@@ -41,14 +41,14 @@ SCHEMA = T.StructType([
 ])
 
 
-def record(url: str | None, payload: bytes, page_id: int | None) -> tuple[bytes, str]:
+def record(url: str | None, payload: bytes, page_id: int | None, date: datetime = DATE) -> tuple[bytes, str]:
     """Return a WARC/1.1 resource record and the digest of its payload."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     name = hashlib.sha256(f"{page_id}|{url}|{digest}".encode()).hexdigest()
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = (
         f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>\r\n"
-        + f"WARC-Date: {DATE:%Y-%m-%dT%H:%M:%SZ}\r\n"
+        + f"WARC-Date: {date:%Y-%m-%dT%H:%M:%SZ}\r\n"
         + (f"WARC-Target-URI: {target}\r\n" if url is not None else "")
         + f"WARC-Payload-Digest: {digest}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     )
@@ -118,7 +118,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES, key: str = "page_id", url: str = "url", html: str = "html", date: datetime = DATE) -> DataFrame:
     """Write pages to ``.warc.zst`` archives in a shared folder; return an index row for each page.
 
     Each task writes the rows of its partition, nothing is shuffled. Records
@@ -130,8 +130,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FI
 
     The index has ``(page_id, url, warc_file, offset, length, record_bytes,
     payload_digest)``. A null page is archived with an empty payload, a null url
-    without a target; repeated rows are archived as often as they come; empty
-    partitions and tables write no archive; other columns don't matter.
+    without a target; repeated rows are archived as often as they come, in the
+    order in which they come; a page of any length is one record, and ends its
+    archive if it's longer than that. Empty partitions and tables write no
+    archive; keys must be integers; other columns don't matter. ``date`` is the
+    WARC-Date of all records, which the table doesn't have.
     """
     folder = folder or shared_dir(pages.sparkSession, "warc")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -151,6 +154,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FI
             trial = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
             with system.open_output_stream(trial) as out:
                 out.write(data)
+            if system.get_file_info(f"{root}/{name}").is_file:  # of a task that ran before; not all systems rename over it
+                system.delete_file(f"{root}/{name}")
             system.move(trial, f"{root}/{name}")
             columns = [
                 [k for k, _, _ in keys], [u for _, u, _ in keys], [name] * len(keys), [o for o, _ in places],
@@ -162,7 +167,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FI
 
         for batch in batches:
             for page, link, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blob, digest = record(link, (body or "").encode(), page)
+                blob, digest = record(link, (body or "").encode(), page, date)
                 keys.append((page, link, digest))
                 blobs.append(blob)
                 held += len(blob)
