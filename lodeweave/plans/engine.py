@@ -90,24 +90,38 @@ class Engine:
         except FileNotFoundError:
             return None
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, session: SparkSession | None = None) -> DataFrame:
         """Return a table of the current state: files, symbols, edges, ranks, aliases, dependencies."""
         pointer = self._pointer()
         if pointer is None:
             raise FileNotFoundError(f"{self.root} has no graph yet")
-        return self.spark.read.parquet(f"file://{self.home}/state/{pointer['folder']}/{name}")
+        return (session or self.spark).read.parquet(f"file://{self.home}/state/{pointer['folder']}/{name}")
 
-    def _publish(self, files: DataFrame, form: str, before: dict[str, str]) -> dict[str, str]:
+    def _session(self, found: list[tuple[str, str, int]]) -> tuple[SparkSession, bool]:
+        """Return the session in which to build from some files, and whether they are few.
+
+        Sources that one task would read anyway are built by one task a table:
+        with a single partition the same plans need no exchange.
+        """
+        if sum(size for _, _, size in found) > tree.TASK_BYTES or len(found) > SMALL_FILES:
+            return self.spark, False
+        one = self.spark.newSession()
+        for key, value in {"shuffle.partitions": "1", "adaptive.enabled": "false", "autoBroadcastJoinThreshold": "-1"}.items():
+            one.conf.set(f"spark.sql.{key}", value)
+        return one, True
+
+    def _publish(self, files: DataFrame, form: str, few: bool) -> dict[str, str]:
         """Write the state of parsed files and the artifacts; return the artifacts' hashes."""
+        session, joined = files.sparkSession, (lambda df: df.coalesce(1)) if few else (lambda df: df)
         folder = uuid.uuid4().hex[:12]
         where = f"file://{self.home}/state/{folder}"
 
         def save(df: DataFrame, name: str) -> DataFrame:
             df.write.parquet(f"{where}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{where}/{name}")
+            return joined(session.read.schema(df.schema).parquet(f"{where}/{name}"))
 
         with ThreadPoolExecutor(12) as pool:  # jobs that don't need each other run side by side
-            files = save(tree.normalized(files), "files")
+            files = save(tree.normalized(joined(files)), "files")
             later = pool.submit(lambda: save(imports.aliases(files), "aliases"))
             known = pool.submit(self._remember, files, folder)
             symbols = save(tree.symbol_table(files), "symbols")
@@ -165,14 +179,15 @@ class Engine:
         """Parse the whole tree and write the graph. Files that can't be read are reported, not fatal."""
         form = sinks.checked_format(form)
         found, issues = tree.listed(self.root, self._rules(), paths.language_set(languages))
-        files = tree.parsed(self.spark, self.root, found)
+        session, few = self._session(found)
+        files = tree.parsed(session, self.root, found)
         try:
             before = (self._pointer() or {}).get("outputs", {})
         except ValueError:
             before = {}
-        after = self._publish(files.where("hash is not null"), form, before)
-        issues += [r.issue for r in self.table("files").where("issue <> ''").select("issue").collect()]
-        return Summary(scanned=len(found), parsed=self.table("files").count(), rewritten=self._rewritten(before, after), issues=issues)
+        after = self._publish(files.where("hash is not null"), form, few)
+        read, said = self.table("files", session).agg(F.count(F.lit(1)), F.sort_array(F.collect_list(F.nullif("issue", F.lit(""))))).first()
+        return Summary(scanned=len(found), parsed=read, rewritten=self._rewritten(before, after), issues=issues + said)
 
     def _difference(self) -> tuple[list[str], list[str], list]:
         """Return the paths that changed and those that are gone, and the files found.
@@ -193,7 +208,7 @@ class Engine:
         return *(sorted(r.path for r in rows if (r.change == "deleted") == gone) for gone in (False, True)), found
 
     def _snapshot(self, files: DataFrame) -> DataFrame:
-        own = self.table("dependencies").groupBy(F.col("src_file").alias("path")).agg(F.sort_array(F.collect_set("dst_file")).alias("deps"))
+        own = self.table("dependencies", files.sparkSession).groupBy(F.col("src_file").alias("path")).agg(F.sort_array(F.collect_set("dst_file")).alias("deps"))
         return files.select("path", "hash").join(own, "path", "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
 
     def _impact(self, symbols: DataFrame, dependencies_of: DataFrame, changed: DataFrame, deleted: DataFrame) -> dict[str, list[str]]:
@@ -228,19 +243,21 @@ class Engine:
         before = pointer.get("outputs", {})
         if not changed and not deleted:
             missing = form != pointer.get("format") or not before or any(not os.path.exists(os.path.join(self.context, n)) for n in before)
-            after = self._publish(self.table("files"), form, before) if missing else before
+            session, few = self._session(found)
+            after = self._publish(self.table("files", session), form, few) if missing else before
             return Summary(len(found), 0, len(found), self._rewritten(before, after))
-        old = self.table("files")
+        session, few = self._session(found)
+        old = self.table("files", session)
         wanted = set(changed)
-        fresh = tree.parsed(self.spark, self.root, [x for x in found if x[0] in wanted]).persist()
+        fresh = tree.parsed(session, self.root, [x for x in found if x[0] in wanted]).persist()
         bad = fresh.where("hash is null").select("issue").first()
         if bad is not None:
             raise OSError(bad.issue)
-        gone = self.spark.createDataFrame([(n,) for n in deleted], "path string")
+        gone = session.createDataFrame([(n,) for n in deleted], "path string")
         merged = snapshots.merge(old.withColumn("deps", F.array().cast("array<string>")), fresh, gone).drop("deps")
         symbols = tree.symbol_table(tree.normalized(merged))
         reasons = self._impact(symbols, merged.join(fresh.select("path"), "path", "left_anti").unionByName(fresh.limit(0)), fresh.select("path"), gone)
-        after = self._publish(merged, form, before)
+        after = self._publish(merged, form, few)
         fresh.unpersist()
         return Summary(len(found), len(changed), max(len(found) - len(changed), 0), self._rewritten(before, after), changed, deleted, reasons)
 

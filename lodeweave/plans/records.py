@@ -267,7 +267,7 @@ def tool_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sorted_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places without repeats, numbered in order of file, line and column."""
     once = _locations(spark, sf_dir).select("file", "line", (F.col("pos") % 7).alias("col")).distinct()
-    return once.withColumn("place", F.row_number().over(Window.orderBy("file", "line", "col")))  # the order of one answer
+    return once.withColumn("place", F.row_number().over(Window.orderBy("file", "line", "col")).cast("long"))  # the order of one answer
 
 
 @query(f"WITH {P.SYMBOLS_SQL} SELECT id, name, file, line, row_number() OVER (ORDER BY id) AS place FROM symbols WHERE name = (SELECT min(name) FROM symbols) ORDER BY id LIMIT 10")
@@ -277,7 +277,7 @@ def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     known = P.symbols(spark, sf_dir)
     name = known.agg(F.min("name")).first()[0]
-    return exact(known, name).orderBy("id").limit(10).select("id", "name", "file", "line", F.row_number().over(Window.orderBy("id")).alias("place"))
+    return exact(known, name).orderBy("id").limit(10).select("id", "name", "file", "line", F.row_number().over(Window.orderBy("id")).cast("long").alias("place"))
 
 
 @query(f"""WITH RECURSIVE {P.EDGES_SQL}, q AS ({_MOST}), walk AS (SELECT id, 0 AS depth FROM q UNION SELECT e.dst, depth + 1 FROM walk JOIN edges e ON e.src = walk.id WHERE depth < 1), near AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)
@@ -286,7 +286,7 @@ def ordered_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls up to two steps from a symbol with their origin, numbered in order of depth and ids."""
     edges = settled(_edges(spark, sf_dir), "edges")
     hops = graph.trace(edges, _busiest(edges), 2)
-    return hops.select("src", "dst", "depth", F.lit("parser").alias("source"), F.row_number().over(Window.orderBy("depth", "src", "dst")).alias("place"))  # the order of one answer
+    return hops.select("src", "dst", "depth", F.lit("parser").alias("source"), F.row_number().over(Window.orderBy("depth", "src", "dst")).cast("long").alias("place"))  # the order of one answer
 
 
 @query(f"""WITH {P.SNAPSHOTS_SQL} SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'deleted' WHEN a.path IS NULL THEN 'added' ELSE 'changed' END AS change FROM old a FULL JOIN cur b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.hash <> b.hash OR a.deps[1] = '1997'""")

@@ -13,6 +13,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Temporary folders of applications on one machine that have no shared folder.
+_OWN: dict[str, str] = {}
+
+
 def _root(spark: SparkSession) -> str:
     """Return the folder of this application's intermediates in the shared folder that the cluster names.
 
@@ -24,8 +28,9 @@ def _root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if spark.sparkContext.applicationId not in _OWN:  # the setting itself can't be changed in a session
+            _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
+        root = _OWN[spark.sparkContext.applicationId]
     return f"{root.rstrip('/')}/lodeweave/{spark.sparkContext.applicationId}"
 
 

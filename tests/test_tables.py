@@ -178,18 +178,18 @@ def test_change_counts(spark, tmp_path):
     assert sorted((r.start.minute, r.changes, r.files) for r in spark.table("counts").collect()) == [(0, 2, 1), (1, 1, 1)]
 
 
-def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+def test_no_folder_of_one_machine_on_a_cluster(spark):
     """Without a shared folder, only a session on one machine gets a temporary one."""
     from types import SimpleNamespace
 
     from lodeweave import storage
 
-    conf = {}
-    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master, applicationId="app"))
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]", "k8s://h"):
         with pytest.raises(RuntimeError):
             storage.shared_dir(fake(master), "x")
-    assert storage.shared_dir(fake("local[4]"), "x").startswith("file://")
+    a, b = (storage.shared_dir(fake("local[4]"), "x") for _ in range(2))
+    assert a.startswith("file://") and a != b and a.rpartition("/")[0] == b.rpartition("/")[0]
     path = storage.shared_dir(spark, "kept")
     spark.range(3).write.parquet(path)
     storage.discard(spark, path)
