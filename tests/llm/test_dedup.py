@@ -4,16 +4,19 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodeweave.llm import linededup, simhash, substrings
+from lodeweave.llm import linededup, shared, simhash, substrings
+from lodeweave.llm.shared import text_bytes
 
 
 def texts(df):
     return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
 
 
-def brute_lines(docs, run):
+def brute_lines(docs, run, long=linededup.LONG):
+    """Runs of lines, and lines of some size by themselves, that were seen before."""
     seen, gone = set(), {}
     for key, text in sorted(docs):
         kept = [(i, x.strip(" \t\r\v\f")) for i, x in enumerate(text.split("\n")) if x.strip(" \t\r\v\f")]
@@ -22,13 +25,18 @@ def brute_lines(docs, run):
             if part in seen:
                 gone.setdefault(key, set()).update(range(kept[k][0], kept[k + run - 1][0] + 1))
             seen.add(part)
+        for i, line in kept:
+            if len(line.encode()) >= long:
+                if ("alone", line) in seen:
+                    gone.setdefault(key, set()).add(i)
+                seen.add(("alone", line))
     return [(key, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(key, ()) or not x.strip(" \t\r\v\f"))) for key, t in docs]
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
-def test_lines_brute(sample, run):
+@pytest.mark.parametrize("run, long", [(1, 20), (2, 20), (3, 20), (5, 20), (3, 1 << 30), (3, 1)])
+def test_lines_brute(sample, run, long):
     docs = [(r.doc_id, r.text) for r in sample.collect()]
-    assert texts(linededup.dedup_lines(sample, run)) == sorted(brute_lines(docs, run), key=repr)
+    assert texts(linededup.dedup_lines(sample, run, long)) == sorted(brute_lines(docs, run, long), key=repr)
 
 
 def test_lines_ties_and_loops(spark):
@@ -117,9 +125,6 @@ def test_passages_awkward(awkward, nothing):
 
 def brute_groups(docs, distance):
     """Groups by all pairs of whole fingerprints that meet in a block."""
-    from lodeweave.llm.shared import text_bytes
-    import pyarrow as pa
-
     codes, n = simhash.fingerprints(*text_bytes(pa.array([t for _, t in docs])))
     bits = simhash.blocks(codes)
     root = {k: k for k, _ in docs}
@@ -170,9 +175,6 @@ def test_simhash_recall(spark):
 
 def test_simhash_recall_plain(spark):
     """Of all pairs within DISTANCE, whether or not they meet in a block, nine in ten are in one group; who has no such pair is in none."""
-    from lodeweave.llm.shared import text_bytes
-    import pyarrow as pa
-
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     docs = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
     codes, n = simhash.fingerprints(*text_bytes(pa.array([t for _, t in docs])))
@@ -184,6 +186,140 @@ def test_simhash_recall_plain(spark):
     assert set(got) <= {docs[k][0] for p in near for k in p}
 
 
+def brute_links(docs, distance):
+    """How many other fingerprints are near each document's."""
+    codes, n = simhash.fingerprints(*text_bytes(pa.array([t for _, t in docs])))
+    single = np.unique(codes[n > 0], axis=0)
+    bits = simhash.blocks(single)
+    near = {}
+    for i, c in enumerate(single):
+        meet = (np.bitwise_count(c ^ single).sum(axis=1) <= distance) & (np.bitwise_count(bits[i] ^ bits).min(axis=1) <= simhash.RADIUS)
+        near[c.tobytes()] = int(meet.sum()) - 1
+    return {k: near[codes[i].tobytes()] for i, (k, _) in enumerate(docs) if n[i]}
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    """Two texts with 150 copies each, of which each differs in a few words of its own; and some exact copies."""
+    rng = np.random.default_rng(13)
+    docs = []
+    for base in range(2):
+        own = [f"{base}w{i}" for i in range(150)]
+        for k in range(150):
+            copy = list(own)
+            for at in rng.integers(0, 150, rng.integers(1, 9)):
+                copy[at] = f"other{rng.integers(0, 10**6)}"
+            docs.append((1000 * base + k, " ".join(copy)))
+    return docs + [(5000 + i, docs[i][1]) for i in range(40)]
+
+
+@pytest.mark.parametrize("tile", [4, 64, simhash.TILE])
+def test_simhash_links_in_a_crowd(spark, crowd, tile, monkeypatch):
+    """Each near pair counts once, whatever the pieces in which buckets are compared."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    want, groups = brute_links(crowd, simhash.DISTANCE), brute_groups(crowd, simhash.DISTANCE)
+    got = simhash.near_duplicates(spark.createDataFrame(crowd, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in got} == groups and {r.doc_id: r.links for r in got} == {k: want[k] for k in groups}
+    assert sum(want.values()) > 10_000
+
+
+def test_simhash_links(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    want = brute_links(docs, simhash.DISTANCE)
+    got = simhash.near_duplicates(table).collect()
+    assert len(got) > 50 and {r.doc_id: r.links for r in got} == {r.doc_id: want[r.doc_id] for r in got}
+
+
+def test_simhash_recall_by_distance():
+    """Of random fingerprints at a distance, as many meet in a block as the module says; up to 35 bits all do."""
+    rng = np.random.default_rng(17)
+    for apart, least in ((20, 1), (35, 1), (45, 0.985), (50, 0.945), (56, 0.83)):
+        flips = np.argsort(rng.random((4000, simhash.SIZE)), axis=1) < apart
+        bits = simhash.blocks(np.packbits(flips, axis=1, bitorder="little").view(np.uint64))
+        assert (np.bitwise_count(bits).min(axis=1) <= simhash.RADIUS).mean() >= least
+
+
+def test_simhash_recall_by_change(spark):
+    """Of copies in which 5 % of the words are others, nearly all pairs within DISTANCE meet; at 10 and 15 % fewer are that near."""
+    rng = np.random.default_rng(19)
+    for share, least in ((0.05, 0.98), (0.10, 0.9), (0.15, 0.8)):
+        docs = []
+        for i in range(2000):
+            base = [f"v{w}" for w in rng.zipf(1.3, 200) % 5000]
+            copy = [f"n{rng.integers(10**6)}" if rng.random() < share else w for w in base]
+            docs += [" ".join(base), " ".join(copy)]
+        codes, _ = simhash.fingerprints(*text_bytes(pa.array(docs)))
+        near = np.bitwise_count(codes[::2] ^ codes[1::2]).sum(axis=1) <= simhash.DISTANCE
+        bits = simhash.blocks(codes)
+        meet = np.bitwise_count(bits[::2] ^ bits[1::2]).min(axis=1) <= simhash.RADIUS
+        print(f"{share:.0%} of words replaced: {near.mean():.3f} within {simhash.DISTANCE} bits, of which {meet[near].mean() if near.any() else 1:.3f} meet")
+        assert not near.any() or meet[near].mean() >= least
+
+
+def test_equal_texts_have_equal_fingerprints():
+    """Whatever else is in the batch, and where it's cut."""
+    rng = np.random.default_rng(23)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 3000, 6000))
+    fill = [" ".join(f"f{i}" for i in rng.integers(0, 9000, n)) for n in (5000, 9000, 1, 7777)]
+    codes, _ = simhash.fingerprints(*text_bytes(pa.array([text, fill[0], text, fill[1], fill[2], text, fill[3], text])))
+    assert all(np.array_equal(codes[0], codes[i]) for i in (2, 5, 7))
+
+
+@pytest.mark.parametrize("n", [2_000_000, 20_000_000])
+def test_memory_of_long_texts(n):
+    """A text of other and other words takes a bounded multiple of its size in every operator that reads words or lines."""
+    import tracemalloc
+
+    from lodeweave.llm import classifier
+
+    unit = " ".join(f"w{i}" for i in np.random.default_rng(0).integers(0, 10**7, 250_000))
+    raw = np.frombuffer((unit * (n // len(unit) + 1)).encode()[:n], np.uint8)
+    at = np.array([0, len(raw)])
+    for f in (lambda: simhash.fingerprints(raw, at), lambda: classifier.statistics(raw, at), lambda: substrings._triggers(raw, at, 50), lambda: substrings._passages(raw, at, [(np.array([0]), np.array([9]))], 50), lambda: linededup.lines_of(raw, at)):
+        tracemalloc.start()
+        f()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < (150 if n < 10**7 else 500)
+
+
+@pytest.mark.parametrize("everyone", [False, True])
+def test_equal_keys_found_in_pieces(spark, everyone):
+    """Whether equal keys meet in one task's rows or only after the shuffle, the same ranges come out."""
+    rng = np.random.default_rng(29)
+    n = 4000
+    key = np.where(rng.random(n) < 0.33, 7, rng.integers(0, 900, n))
+    doc, version, first = rng.integers(0, 40, n), rng.integers(0, 2, n), rng.integers(0, 60, n).astype(np.int32)
+    rows = [(key[i : i + 500], doc[i : i + 500], version[i : i + 500], first[i : i + 500], first[i : i + 500]) for i in range(0, n, 500)]
+    seen = {}
+    for k, *place in sorted(set(zip(key.tolist(), doc.tolist(), version.tolist(), first.tolist()))):
+        seen.setdefault(k, []).append(tuple(place))
+    want = {}
+    for places in seen.values():
+        for d, v, f in places[0 if everyone and len(places) > 1 else 1 :]:
+            want.setdefault((d, v), set()).add(f)
+    for size in (1, 1000, 1 << 20):
+        batches = [b for half in (rows[:4], rows[4:]) for b in shared.marked(iter(half), everyone, size)]
+        marks = spark.createDataFrame(pa.Table.from_batches(batches).to_pandas())
+        got = {(r.doc_id, r.version): {w for s in r.spans for w in range(s.first, s.last + 1)} for r in shared.again(marks, everyone).collect()}
+        assert got == want
+        hot = sum(((t := b.to_pydict())["key"].count(7) for b in batches if not b.column(5)[0].as_py()), 0)
+        assert hot == (8 if size == 1 else 4 if size == 1000 else 2)  # once for each so many rows
+
+
+def test_any_other_columns(spark):
+    """Columns with the operators' own names, and of types that can't be hashed or compared."""
+    names = "own version found gone place hashed member marks spans words key first last sure id rank group_id n window gathered own_ `__lw_key` `__lw_place`".split()
+    run = " ".join(f"w{i}" for i in range(60)) + "\nline one\nline two\nline three"
+    rows = [(k, run + f" {k}", {"a": k}, [{"b": [k]}], *["x"] * len(names)) for k in (1, 2, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, am array<map<string,array<int>>>, " + ", ".join(f"{n} string" for n in names))
+    assert linededup.dedup_lines(df).columns == df.columns and linededup.dedup_lines(df).count() == 4
+    assert substrings.dedup_passages(df).columns == df.columns and substrings.dedup_passages(df).count() == 4
+    for f in (simhash.dedup_documents, simhash.dedup_texts):
+        assert f(df).columns == df.columns and [r.doc_id for r in f(df).collect()] == [1]
+
+
 def test_simhash_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]

@@ -69,6 +69,16 @@ def test_warc_awkward(spark, tmp_path):
     assert warc.write_warc(pages.limit(0), "file://" + none).count() == 0 and not glob.glob(none + "/*")
 
 
+def test_warc_written_again(spark, tmp_path):
+    """A task that runs again finds its archive there already, and writes the same bytes."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").coalesce(1)
+    for _ in range(2):
+        index = warc.write_warc(pages, f"file://{tmp_path}/w").collect()
+        with open(f"{tmp_path}/w/{index[0].warc_file}", "rb") as f:
+            seen = f.read()
+    assert glob.glob(f"{tmp_path}/w/.*") == [] and seen[:4] == warc.SKIPPABLE.to_bytes(4, "little")
+
+
 def slow_pack(lengths, capacities, overhead):
     """Best fit with a search over all open bins."""
     best = None
@@ -100,7 +110,53 @@ def test_packing_brute(seed):
     for c, b in bins:
         used = sum(lengths[i] for i in b)
         assert used <= c and not [d for d in capacities if used <= d < c]
-    assert sum(c + 3 for c, _ in bins) == slow_pack(lengths, capacities, 3)
+    assert sum(c + 3 for c, _ in bins) <= slow_pack(lengths, capacities, 3)
+
+
+def least_cost(lengths, capacities, overhead):
+    """The cost of the best of all packings: all ways to divide pieces into bins."""
+    if not lengths:
+        return 0
+    first, rest, best = lengths[0], lengths[1:], None
+    for mask in range(1 << len(rest)):
+        used = first + sum(x for i, x in enumerate(rest) if mask >> i & 1)
+        if used <= capacities[-1]:
+            cost = min(c for c in capacities if c >= used) + overhead + least_cost([x for i, x in enumerate(rest) if not mask >> i & 1], capacities, overhead)
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_packing_against_all_packings():
+    """On small inputs the cost is that of the best packing in nine of ten cases, and never a fifth above it."""
+    import random
+
+    rng = random.Random(11)
+    capacities, overhead, best, over = (16, 32, 64), 5, 0, []
+    for _ in range(150):
+        lengths = [rng.randint(1, 64) if rng.random() < 0.5 else rng.randint(1, 20) for _ in range(rng.randint(1, 7))]
+        cost, least = sum(c + overhead for c, _ in packing.pack_lengths(lengths, capacities, overhead)), least_cost(lengths, capacities, overhead)
+        assert cost >= least
+        best += cost == least
+        over.append(cost / least)
+    assert best >= 0.9 * 150 and max(over) < 1.2
+
+
+def test_packing_opens_several_sizes():
+    """A size is weighed for each bin: pieces that fill small sequences exactly go there, though large ones are open to others."""
+    capacities, overhead = (16, 32, 64), 1
+    lengths = [64] * 10 + [33] * 10 + [31] * 10 + [16] * 3 + [32] * 2
+    bins = packing.pack_lengths(lengths, capacities, overhead)
+    assert sum(c + overhead for c, _ in bins) <= slow_pack(lengths, capacities, overhead)
+    lengths = [50] * 7 + [30] * 9 + [15] * 5
+    bins = packing.pack_lengths(lengths, capacities, overhead)
+    assert {c for c, _ in bins} == {16, 32, 64} and sum(c + overhead for c, _ in bins) < sum(lengths) * 1.3
+
+
+def test_packing_by_tokens(spark):
+    """Lengths may be counts of tokens that another operator found."""
+    df = spark.createDataFrame([(1, "ab", 3000), (2, "c", 1000), (3, "d", None), (4, None, 0), (5, "e", 20_000)], "doc_id long, text string, n_tokens int")
+    pieces = sorted(p for r in packing.pack(df, size="n_tokens").collect() for p in zip(r.doc_ids, r.starts, r.lengths, strict=True))
+    assert pieces == [(1, 0, 3000), (2, 0, 1000), (5, 0, 16384), (5, 16384, 3616)]
 
 
 def check_bins(docs, bins, capacities):
@@ -148,6 +204,30 @@ def test_shards(sample, awkward, target, least):
         assert sorted(got, key=repr) == sorted(slow_shards(docs, target, least), key=repr)
 
 
+def test_shards_of_100_terabytes(spark):
+    """Cuts are exact where sums of bytes times shards pass 64 bits, and where they pass a double's 53."""
+    import random
+
+    rng = random.Random(2)
+    sizes = [(i, rng.choice([0, rng.randint(1, 10**6), rng.randint(10**10, 2 * 10**11)])) for i in range(2000)]
+    assert sum(n for _, n in sizes) > 5 * 10**13
+    got = sorted(tuple(r) for r in sharding.shard_sizes(spark.createDataFrame(sizes, "doc_id long, n_bytes long")).collect())
+    total, at, want = sum(n for _, n in sizes), 0, []
+    shards = -(-total // sharding.TARGET_BYTES)
+    for k, n in sizes:
+        want.append((k, n, at, min(shards - 1, (2 * at + n) * shards // (2 * total))))
+        at += n
+    assert got == want
+
+
+def test_shards_with_a_hot_key(spark):
+    """A key that a third of all rows have lies in several partitions, and rows are placed as one line all the same."""
+    rows = [(7, "x" * 5)] * 3000 + [(i, "y" * (i % 9)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in sharding.shard(df, 1000, 1).collect()]
+    assert sorted(got) == sorted(slow_shards(rows, 1000, 1))
+
+
 def test_shards_empty(awkward, nothing):
     assert sharding.shard(nothing).count() == 0
     assert {r.shard_id for r in sharding.shard(awkward.where("doc_id in (3, 4)")).collect()} == {0}
@@ -160,6 +240,12 @@ def test_rules_awkward(awkward, nothing):
     assert rules.judge(awkward).count() == awkward.count() and rules.judge(nothing).count() == 0
 
 
+def test_rules_keep_long_texts(spark):
+    text = "the quick fox and the dog are in a field of green. " * 200_000
+    assert spark.createDataFrame([(1, text)], "doc_id long, text string").transform(rules.judge).first().n_words == 2_400_000
+    assert all(r.most is None for r in rules.RULES if r.name == "n_words")
+
+
 def test_rules_on_labels(spark):
     got = rules.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
     assert got[got.quality == 1].keep.mean() > 0.995 and (~got[got.quality == 0].keep).mean() > 0.95

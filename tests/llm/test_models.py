@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,63 @@ def test_statistics_do_not_depend_on_the_batch(sample):
     assert not whole[-4].any() and np.isfinite(whole).all()
 
 
+def brute_statistics(text):
+    """The features of one text, by regular expressions and counting."""
+    raw = text.encode()
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    low = [re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: b"\xc3" + bytes([m[1][0] + 32]), w).lower() for w in found]
+    n, per, size, lines = len(found), max(len(found), 1), max(len(raw), 1), raw.count(b"\n") + bool(raw)
+    has = lambda chars: sum(b in chars for b in raw)
+    pairs = list(zip(low, low[1:]))
+    return [
+        np.log1p(len(raw)), np.log1p(n), np.log1p(lines), sum(map(len, found)) / per, sum(len(w) > 14 for w in found) / per,
+        len(set(low)) / per, len(set(low)) / np.sqrt(per), sum(a == b for a, b in pairs) / per,
+        has(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, has(b"0123456789") / size, has(b" \t\n\r") / size, has(b".!?") / per, has(b",;:") / per,
+        has(b"#$%&*+<=>@^_~\\") / per, has(b"\"'()-/[]`{}") / per, sum(b >= 192 for b in raw) / size,
+        n / max(lines, 1), sum(x[-1:] != b"" and x[-1:] in b".!?\"')" for x in raw.split(b"\n")) / max(lines, 1), has(b"|") / per, (len(pairs) - len(set(pairs))) / max(n - 1, 1),
+    ]
+
+
+def test_statistics_brute(sample):
+    texts = [r.text for r in sample.collect()] + ["", "a", "\n", "\n\nx.\n", "é É|É a A", "- x\n\n- y)", "one two one two one"]
+    assert np.allclose(classifier.statistics(*text_bytes(pa.array(texts))), [brute_statistics(t) for t in texts])
+
+
+def slow_fit(x, y, trees):
+    """Boosting with every cut of every feature tried by itself, as nested pairs; returns the scores of the rows."""
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, classifier.BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    score = np.full(len(y), np.log(rate / (1 - rate)))
+
+    def grow(rows, g, h, depth):
+        value = -classifier.RATE * g[rows].sum() / (h[rows].sum() + classifier.L2)
+        if depth == classifier.DEPTH:
+            return [(rows, value)]
+        best, split = 1e-9, None
+        for j, own in enumerate(cuts):
+            for c in own:
+                left, right = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                if min(len(left), len(right)) >= classifier.LEAST:
+                    gain = sum(g[r].sum() ** 2 / (h[r].sum() + classifier.L2) * s for r, s in ((left, 1), (right, 1), (rows, -1)))
+                    if gain > best + 1e-12:
+                        best, split = gain, (left, right)
+        return grow(split[0], g, h, depth + 1) + grow(split[1], g, h, depth + 1) if split else [(rows, value)]
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-score))
+        for rows, value in grow(np.arange(len(y)), p - y, np.maximum(p * (1 - p), 1e-9), 0):
+            score[rows] += value
+    return 1 / (1 + np.exp(-score))
+
+
+def test_fit_brute(monkeypatch):
+    monkeypatch.setattr(classifier, "TREES", 6)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).round(2)
+    y = ((x[:, 0] + x[:, 1] ** 2 + rng.normal(size=300) * 0.3) > 0.8).astype(float)
+    assert np.allclose(classifier.fit(x, y).score(x), slow_fit(x, y, 6))
+
+
 def test_classifier_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (7, 0, 0), (7, 0, 0), (8, 1, 0), (8, 0, 0), (None, 1, 0), (3, None, 0), (77, 0, 0)], "doc_id long, quality int, toxic int")
     model = classifier.train(awkward, labels)
@@ -63,6 +121,8 @@ def test_classifier_awkward(spark, awkward, nothing):
     kept = classifier.keep_good(awkward, model)
     assert kept.columns == awkward.columns and kept.count() == out.where("keep").count()
     assert classifier.classify(nothing, model).count() == 0
+    many = spark.createDataFrame([(1, "good words here " * k) for k in (3, 1, 2)] * 50 + [(2, "x")], "doc_id long, text string")
+    assert classifier.train(many, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).base == pytest.approx(np.log(3))  # a row a key
     assert classifier.train(nothing, labels).base == 0.0 and classifier.train(awkward, labels.limit(0)).base == 0.0
 
 

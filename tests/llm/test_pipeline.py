@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, sample):
         if name == "line dedup":
             want = brute_lines(want, 3)
         elif name == "near dedup":
-            groups = brute_groups(want, 65)
+            groups = brute_groups(want, 56)
             want = [d for d in want if groups.get(d[0], d[0]) == d[0]]
         elif name == "passage dedup":
             spans = brute_spans(want, 50)
