@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.storage import Rounds
+
 from .shared import settled
 
 K = 10
-#: Vectors in a block: what is compared with what in one step, and all that a worker holds of each side.
+#: Vectors in a block, at most: what is compared with what in one step.
 BLOCK = 4096
 #: Cells of the coarse division, at most; centres, radii and sizes of cells are what the driver and each task hold of the index.
 MAX_CELLS = 1024
 #: Vectors, of least hash, to which the cells' centres are fitted, at most. All vectors are indexed, whatever this is.
 FIT_ROWS = 65_536
+#: Bytes, whatever the vectors' length: of a block; of the centres, which the driver holds; of the vectors to which one task fits them; of the blocks that a worker holds at once.
+BLOCK_BYTES, CENTRE_BYTES, FIT_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 32 << 20, 64 << 20
+#: Partitions in which blocks and queries meet, at most.
+MAX_TASKS = 10_000
 ROUNDS = 4
 #: Queries are those rows whose key is divisible by this.
 EVERY = 20
@@ -27,6 +34,7 @@ WIDTH = 1.9
 _SEED = 7
 
 
+@lru_cache(maxsize=1)
 def rotation(d: int) -> np.ndarray:
     """Return the random rotation of ``d`` dimensions, the same on all workers."""
     q, r = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((d, d)))
@@ -71,8 +79,9 @@ def nearest(queries: np.ndarray, limit: np.ndarray, own: np.ndarray, vectors: np
         wanted = (guess - margin <= bound[:, None]) & ~same
         rows, columns = np.nonzero(wanted)
         exact = np.empty(len(rows), np.float32)
-        for a in range(0, len(rows), 1 << 17):
-            part = slice(a, a + (1 << 17))
+        step = max(1, (1 << 21) // d)
+        for a in range(0, len(rows), step):
+            part = slice(a, a + step)
             diff = q[rows[part]] - vectors[columns[part]]
             exact[part] = np.einsum("ij,ij->i", diff, diff)
         order = np.lexsort((ids[columns], exact, rows))
@@ -87,12 +96,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def _unit(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """Return ``(id, v)``: one unit vector for each key, of the length that most have."""
+def _unit(vectors: DataFrame, key: str, embedding: str) -> tuple[DataFrame, int]:
+    """Return ``(id, v)``, one unit vector for each key, of the length that most have, and that length."""
     good = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(v, x -> x <> 0)")
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
-        return good.limit(0)
+        return good.limit(0), 1
     one = good.where(F.size("v") == sizes["d"]).groupBy("id").agg(F.min("v").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +111,7 @@ def _unit(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["id", "v"])
 
-    return one.mapInArrow(run, "id long, v array<float>")
+    return one.mapInArrow(run, "id long, v array<float>"), sizes["d"]
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +132,44 @@ def fitted(sample: np.ndarray, count: int) -> np.ndarray:
     return centres
 
 
+def _chained(centres: np.ndarray) -> np.ndarray:
+    """Return centres in an order in which each is followed by the nearest of those left."""
+    order, left = [0], np.arange(1, len(centres))
+    while len(left):
+        i = int(((centres[left] - centres[order[-1]]) ** 2).sum(axis=1).argmin())
+        order.append(int(left[i]))
+        left = np.delete(left, i)
+    return centres[order]
+
+
+def _centres(unit: DataFrame, n: int, d: int, rows: int, count: int) -> np.ndarray:
+    """Return cell centres, fitted by one task to ``rows`` rows of least hash; the driver gets only them."""
+    hashed = unit.withColumn("h", F.xxhash64("id"))
+    share = (rows + 8 * math.sqrt(rows) + 64) / n
+    if share < 1:  # little more than what is wanted goes to that task
+        hashed = hashed.where(F.col("h") <= int(share * 2**64) - 2**63)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [_matrix(batch.column(0)) for batch in batches if batch.num_rows]
+        if sample:
+            x = _chained(fitted(np.concatenate(sample), count))
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32()))], names=["v"])
+
+    return _matrix(hashed.orderBy("h", "id").limit(rows).select("v").mapInArrow(fit, "v array<float>").toArrow()["v"].combine_chunks())
+
+
+def _merged(far: np.ndarray, to: np.ndarray, rows: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """Put candidates, in order of their rows and distances and as many a row as there are places at most, among the nearest so far; return the rows."""
+    k = far.shape[1]
+    some, first, size = np.unique(rows, return_index=True, return_counts=True)
+    both, names = (np.concatenate([x[some], np.full((len(some), k), fill, x.dtype)], axis=1) for x, fill in ((far, np.inf), (to, 0)))
+    at = np.repeat(np.arange(len(some)), size), k + np.arange(len(rows)) - np.repeat(first, size)
+    both[at], names[at] = distances, ids
+    order = np.lexsort((names, both), axis=1)[:, :k]
+    far[some], to[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+    return some
+
+
 _BLOCKS = "block int, cell int, ids binary, vectors binary, bits binary, length binary, matching binary, asks binary"
 
 
@@ -141,8 +188,11 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
     something nearer, by the triangle inequality on their centre and radius. So
     nothing is missed but by the codes' bounds, at ``WIDTH`` standard deviations
     (tests measure a recall of 0.95 against brute force). Where vectors have no
-    clusters, all blocks are visited. Work moves as blocks, so a worker's memory
-    doesn't depend on the number of vectors, and the driver holds a row a cell.
+    clusters, all blocks are visited. Queries travel once for each shard of
+    blocks (``SHARD_BYTES``), which a worker holds while they pass by it. One
+    task fits the centres, to ``FIT_BYTES`` at most, and the driver gets those,
+    ``CENTRE_BYTES`` at most, and a row a cell: so neither's memory depends on
+    the number of vectors or, up to some thousand elements, on their length.
 
     Null keys, null or empty vectors, vectors with a null, NaN or infinite
     element, zero vectors, and those of another length than most have no row and
@@ -151,14 +201,17 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
     with fewer than ``k`` others all are returned. An empty table gives an empty
     result; other columns don't matter.
     """
-    unit = settled(_unit(vectors, key, embedding), "unit")
+    unit, d = _unit(vectors, key, embedding)
+    rounds = Rounds(unit.sparkSession, "neighbours")
+    unit = rounds.settle(unit)
     n = unit.count()
     schema = "vec_id long, neighbour_id long, distance float"
     if n == 0:
         return unit.select(F.col("id").alias("vec_id"), F.col("id").alias("neighbour_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"))
-    sample = unit.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
-    centres = fitted(_matrix(sample["v"].combine_chunks()), max(1, min(max_cells, fit_rows, n // block)))
-    cells, d = centres.shape
+    block = max(1, min(block, BLOCK_BYTES // (4 * d)))
+    rows = max(1, min(fit_rows, n, FIT_BYTES // (4 * d)))
+    centres = _centres(unit, n, d, rows, max(1, min(max_cells, rows, n // block, CENTRE_BYTES // (4 * d))))
+    cells = len(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +220,18 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
                 cell, away = _closest(_matrix(part.column(1)), centres)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(away.astype(np.float32))], names=["id", "v", "cell", "away"])
 
-    placed = settled(unit.mapInArrow(assign, "id long, v array<float>, cell int, away float"), "cells")
+    placed = rounds.settle(unit.mapInArrow(assign, "id long, v array<float>, cell int, away float"))
+    rounds.forget(1)
     counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.max("away").alias("radius"))
     found = {r.cell: (r.parts, r.radius) for r in counts.collect()}  # a row a cell, of which there are max_cells at most
     parts = np.array([found.get(c, (0, 0.0))[0] for c in range(cells)])
     radii = np.array([found.get(c, (0, 0.0))[1] for c in range(cells)], np.float32)
-    part = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(max(p, 1))) for p in parts]), F.col("cell") + 1))
-    numbered = placed.withColumn("block", (part * cells + F.col("cell")).cast("int"))
+    ends = np.cumsum(parts)  # a cell's blocks have the numbers before this
+    total, spread = int(ends[-1]), placed.sparkSession.sparkContext.defaultParallelism
+    a_shard = max(1, min(SHARD_BYTES // (4 * d * block), total // (4 * spread)))
+    shards = -(-total // a_shard)
+    where = {name: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1) for name, values in (("parts", np.maximum(parts, 1)), ("first", ends - parts))}
+    numbered = placed.withColumn("block", (F.pmod(F.xxhash64("id"), where["parts"]) + where["first"]).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -184,7 +242,8 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
         names = ["block", "cell", "ids", "vectors", "bits", "length", "matching", "asks"]
         return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
-    blocks = settled(numbered.select("block", "cell", "id", "v").groupBy("block").applyInArrow(build, _BLOCKS), "blocks")
+    blocks = rounds.settle(numbered.select("block", "cell", "id", "v").groupBy("block").applyInArrow(build, _BLOCKS))
+    rounds.forget(1)
 
     def opened(row: dict) -> tuple[np.ndarray, ...]:
         ids = np.frombuffer(row["ids"], np.int64)
@@ -215,27 +274,48 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, max_cells: in
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                x, limit, home = _matrix(batch.column(2)), batch.column(3).to_numpy(), batch.column(0).to_numpy()
+                x, limit, home, ids = _matrix(batch.column(2)), batch.column(3).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 away = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T, 0))
                 may = (away - radii - 1e-3 <= np.sqrt(limit)[:, None]) & (parts > 0)
-                for c in np.flatnonzero(may.any(axis=0)):
-                    for p in range(parts[c]):
-                        name = int(p * cells + c)
-                        rows = may[:, c] & (home != name)
-                        if rows.any():
-                            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([batch.column(1).to_numpy()[rows].tobytes()]), pa.array([x[rows].tobytes()]), pa.array([limit[rows].tobytes()])], names=["block", "q_ids", "q_vectors", "q_limits"])
-
-    sent = own.select("block", "id", "v", "bound").mapInArrow(onward, "block int, q_ids binary, q_vectors binary, q_limits binary")
+                for shard in range(shards):
+                    low, high = np.searchsorted(ends, [shard * a_shard, min((shard + 1) * a_shard, total) - 1], "right")
+                    rows = may[:, low : high + 1].any(axis=1) & ((home != shard) | (a_shard > 1))
+                    if rows.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([v[rows].tobytes()]) for v in (ids, x, limit, home))], names=["shard", "ids", "vectors", "limits", "homes"])
+
+    sent = own.select("block", "id", "v", "bound").mapInArrow(onward, "shard int, ids binary, vectors binary, limits binary, homes binary")
+
+    def held_against(row: dict, held: list[tuple]) -> pa.RecordBatch:
+        ids, x, home = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d), np.frombuffer(row["homes"], np.int32)
+        limit, far, to = np.frombuffer(row["limits"], np.float32).copy(), np.full((len(ids), k), np.inf, np.float32), np.zeros((len(ids), k), np.int64)
+        for name, cell, mine in held:
+            away = np.linalg.norm(x - centres[cell], axis=1)
+            rows = np.flatnonzero((away - radii[cell] - 1e-3 <= np.sqrt(limit)) & (home != name))
+            if not len(rows):
+                continue
+            for q, other, distance in nearest(x[rows], limit[rows], ids[rows], *mine, k):
+                near = distance <= limit[rows[q]]
+                if near.any():
+                    some = _merged(far, to, rows[q[near]], other[near], distance[near])
+                    limit[some] = np.minimum(limit[some], far[some, k - 1])
+        q, place = np.nonzero(far < np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(to[q, place]), pa.array(far[q, place])], names=["vec_id", "neighbour_id", "distance"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                for q, to, far in nearest(np.frombuffer(row["q_vectors"], np.float32).reshape(-1, d), np.frombuffer(row["q_limits"], np.float32), ids, *opened(row), k):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(to), pa.array(far)], names=["vec_id", "neighbour_id", "distance"])
-
-    others = sent.join(blocks, "block").mapInArrow(across, schema)
+                if row["shard"] != shard:
+                    shard, held = row["shard"], []
+                if row["asks"]:
+                    yield held_against(row, held)
+                else:
+                    held.append((row["block"], row["cell"], opened(row)))
+
+    meeting = blocks.drop("asks").withColumn("shard", F.floor(F.col("block") / a_shard).cast("int")).withColumn("asks", F.lit(False)).unionByName(sent.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    tasks = min(shards, MAX_TASKS)
+    others = meeting.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "asks").mapInArrow(across, schema)
     first = own.select(F.col("id").alias("vec_id"), F.explode("near").alias("n")).select("vec_id", F.col("n.id").alias("neighbour_id"), F.col("n.distance").alias("distance"))
     order = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
     ranked = first.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lodeweave.llm import ann, bpe, classifier
@@ -216,6 +217,24 @@ def test_neighbours_without_structure(spark):
     assert recall(ann.neighbours(df, k=5, block=200, every=1).collect(), exact(x.astype(np.float32).astype(float), 5), 5, 1) >= 0.9
 
 
+def test_neighbours_of_long_vectors(spark, tmp_path, monkeypatch):
+    """The driver gathers centres only, whatever the vectors' length; a worker holds several blocks at once."""
+    x = np.random.default_rng(5).normal(size=(4000, 600)).astype(np.float32)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 600).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": lists}), tmp_path / "long.parquet")
+    table, sizes = spark.read.parquet(str(tmp_path / "long.parquet")), []
+    gather = type(table).toArrow
+
+    def counted(df):
+        got = gather(df)
+        sizes.append(got.nbytes)
+        return got
+
+    monkeypatch.setattr(type(table), "toArrow", counted)
+    assert recall(ann.neighbours(table, block=20).collect(), exact(x.astype(float), 10), 10, ann.EVERY) >= 0.9
+    assert 0 < max(sizes) <= 1 << 20 < x.nbytes
+
+
 def test_neighbours_awkward(spark):
     v = [1.0, 0.0, 2.0]
     rows = [(1, v, 9), (1, v, 9), (2, v, 9), (3, v, 8), (4, [0.0, 1.0, 0.0], 1), (5, None, 1), (None, v, 1), (6, [], 1), (7, [0.0, 0.0, 0.0], 1), (8, [float("nan"), 1.0, 1.0], 1), (9, [1.0, None, 2.0], 1), (10, [1.0, 2.0], 1)]
