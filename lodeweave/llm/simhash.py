@@ -23,6 +23,10 @@ DISTANCE = 56
 PART = 2_000_000
 #: Members of a bucket that are compared at once; larger buckets are cut into pairs of pieces, each compared by itself.
 TILE = 1024
+#: Pairs of codes that are compared at once: some 60 MB.
+PAIRS = 250_000
+#: Edges up to which one task finds components: 16 MB.
+SMALL = 1_000_000
 
 _WIDTH = SIZE // 64
 _CODES = [f"c{k}" for k in range(_WIDTH)]
@@ -105,7 +109,8 @@ def _collisions(codes: DataFrame) -> DataFrame:
     their pair counts in just one of these buckets, where the code of smaller id
     flips the lower bit or none (see :func:`near_pairs`). Buckets in which no pair
     counts, as those that equal blocks have in common but for the block itself,
-    end here. Those of more than TILE members are cut into pairs of pieces.
+    end here. Those of more than TILE members are cut into pairs of pieces, which
+    leave the task PART members at a time.
     """
     flips = np.array([0, *(1 << i for i in range(BITS))], np.uint64)
     tags = np.arange(BLOCKS, dtype=np.uint64) << np.uint64(BITS)
@@ -117,21 +122,22 @@ def _collisions(codes: DataFrame) -> DataFrame:
             cuts = np.r_[0, np.flatnonzero(np.diff(ids) != 1) + 1, len(ids)]  # ids are numbered as written
             for lo, hi in ((i, min(i + 4096, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for i in range(a, b, 4096)):
                 own = blocks(np.stack([c.to_numpy()[lo:hi] for c in batch.columns[1:]], axis=1)).astype(np.uint64) | tags
-                hashes = mix((own[:, :, None] ^ flips).reshape(-1))
-                entry = np.arange(len(hashes))
-                part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * BLOCKS + entry // _VARIANTS % BLOCKS
-                order = np.argsort(part, kind="stable")
-                keys, part, code, bit = hashes[order].astype(np.uint32), part[order], entry[order] // (BLOCKS * _VARIANTS), (entry[order] % _VARIANTS).astype(np.uint8)
-                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                ends = np.r_[first[1:], len(order)]
-                step = np.diff(code, prepend=0)
-                step[first] = code[first]
-                thin = np.maximum.reduceat(step, first) < 256
-                steps = [step[a:b].astype(np.uint8 if t else np.uint16).tobytes() for a, b, t in zip(first, ends, thin, strict=True)]
-                packed = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (keys, bit)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.full(len(first), ids[lo])), *packed, pa.array(steps, pa.binary())], names=["part", "base", "keys", "bits", "steps"])
-
-    def meet(table: pa.Table) -> pa.Table:
+                for block in range(BLOCKS):
+                    hashes = mix((own[:, block, None] ^ flips).reshape(-1))
+                    part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * BLOCKS + block
+                    order = np.argsort(part, kind="stable")
+                    keys, part, code, bit = hashes[order].astype(np.uint32), part[order], order // _VARIANTS, (order % _VARIANTS).astype(np.uint8)
+                    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                    ends = np.r_[first[1:], len(order)]
+                    step = np.diff(code, prepend=0)
+                    step[first] = code[first]
+                    thin = np.maximum.reduceat(step, first) < 256
+                    steps = [step[a:b].astype(np.uint8 if t else np.uint16).tobytes() for a, b, t in zip(first, ends, thin, strict=True)]
+                    packed = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (keys, bit)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.full(len(first), ids[lo])), *packed, pa.array(steps, pa.binary())], names=["part", "base", "keys", "bits", "steps"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         block = table["part"][0].as_py() % BLOCKS
         rows = table.select(["base", "keys", "bits", "steps"]).to_pydict()
         keys = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"]])
@@ -151,20 +157,26 @@ def _collisions(codes: DataFrame) -> DataFrame:
         before = np.r_[64, (np.minimum.accumulate(down + bit) - down)[:-1]] if len(keys) else np.empty(0, np.int64)
         before[first] = 64
         kept = np.bincount(group, (before < bit) | ((before == 0) & (bit == 0)), len(first)) > 0
+
+        def cut(at: np.ndarray, side: np.ndarray, sizes: list[int] | np.ndarray) -> pa.RecordBatch:
+            bounds = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids[at], bit[at], side)]
+            return pa.RecordBatch.from_arrays([lists[0], pa.array(np.full(len(sizes), block, np.int8)), *lists[1:]], names=["ids", "block", "bits", "sides"])
+
         small = kept & (ends - first <= TILE)
-        at, sides, sizes = [np.flatnonzero(small[group]) if len(group) else np.empty(0, np.int64)], [], list((ends - first)[small])
-        sides.append(np.zeros(len(at[0]), np.int8))
+        at = np.flatnonzero(small[group])
+        yield cut(at, np.zeros(len(at), np.int8), (ends - first)[small])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(first[kept & ~small], ends[kept & ~small], strict=True):
             pieces = [np.arange(i, min(i + TILE, b)) for i in range(a, b, TILE)]
             for i, x in enumerate(pieces):
                 for y in pieces[i:]:
-                    at.append(x if x is y else np.r_[x, y])
-                    sides.append(np.zeros(len(x), np.int8) if x is y else np.r_[np.full(len(x), 1, np.int8), np.full(len(y), 2, np.int8)])
-                    sizes.append(len(at[-1]))
-        at = np.concatenate(at)
-        bounds = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids[at], bit[at], np.concatenate(sides))]
-        return pa.table([lists[0], pa.array(np.full(len(sizes), block, np.int8)), *lists[1:]], names=["ids", "block", "bits", "sides"])
+                    held.append((x, np.zeros(len(x), np.int8)) if x is y else (np.r_[x, y], np.r_[np.full(len(x), 1, np.int8), np.full(len(y), 2, np.int8)]))
+                    if len(held) * 2 * TILE >= PART:
+                        yield cut(*map(np.concatenate, zip(*held, strict=True)), [len(h[0]) for h in held])
+                        held = []
+        if held:
+            yield cut(*map(np.concatenate, zip(*held, strict=True)), [len(h[0]) for h in held])
 
     packed = codes.mapInArrow(emit, "part long, base long, keys binary, bits binary, steps binary")
     return packed.groupBy("part").applyInArrow(meet, "ids array<long>, block byte, bits array<byte>, sides array<byte>")
@@ -207,23 +219,23 @@ def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     total = np.cumsum(more)
     start = 0
     while start < len(more):
-        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 2_000_000, "right")))
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")))
         a = np.repeat(np.arange(start, stop), more[start:stop])
         first = np.cumsum(more[start:stop]) - more[start:stop]
         yield a, a + 1 + np.arange(len(a)) - np.repeat(first, more[start:stop])
         start = stop
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Return for each of n things the least one that pairs connect it with."""
-    label = np.arange(n)
+def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Return for each thing the least one that it's connected with, by pairs or by the labels so far."""
+    label = label.copy()
     while True:
-        old = label.copy()
-        np.minimum.at(label, a, old[b])
-        np.minimum.at(label, b, old[a])
-        label = label[label]
-        if np.array_equal(label, old):
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
             return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, further := label[label]):
+            label = further
 
 
 def near_pairs(codes: np.ndarray, which: np.ndarray, bit: np.ndarray, side: np.ndarray, block: np.ndarray, sizes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -266,11 +278,14 @@ def _verified(members: DataFrame, distance: int) -> DataFrame:
         n = np.repeat(sizes, total)
         which = np.repeat(first, total) + within % np.maximum(n, 1)
         at = start[which] + within // np.maximum(n, 1)
-        got = list(near_pairs(codes, which, bit[at], side[at], blocked[at], np.repeat(sizes, times), distance))
-        a, b = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in (0, 1))
-        names, index = np.unique(ids[np.r_[a, b]], return_inverse=True)
-        root = _labels(len(names), index[: len(a)], index[len(a) :])
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(names[root], pa.int64()), pa.array(np.bincount(index, minlength=len(names)).astype(np.int64))], names=["id", "root", "links"])
+        names, index = np.unique(ids, return_inverse=True)
+        root, links = np.arange(len(names)), np.zeros(len(names), np.int64)
+        for a, b in near_pairs(codes, which, bit[at], side[at], blocked[at], np.repeat(sizes, times), distance):  # counted as they come: there may be millions
+            a, b = index[a], index[b]
+            links += np.bincount(a, minlength=len(names)) + np.bincount(b, minlength=len(names))
+            root = _labels(root, a, b)
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(names[some], pa.int64()), pa.array(names[root[some]], pa.int64()), pa.array(links[some])], names=["id", "root", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,16 +299,32 @@ def _verified(members: DataFrame, distance: int) -> DataFrame:
     return members.mapInArrow(run, "id long, root long, links long")
 
 
-def components(edges: DataFrame, what: str = "stars") -> DataFrame:
+def _components_here(edges: DataFrame) -> DataFrame:
+    """Find components by arrays, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+        if parts:
+            ids, index = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+            a, b = index.reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[_labels(np.arange(len(ids)), a, b)])], names=["id", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, root long")
+
+
+def components(edges: DataFrame, what: str = "stars", small: int | None = None) -> DataFrame:
     """Return ``(id, root)``: each id of the edges with the least id that it's connected to.
 
-    Large-star and small-star steps by turns; each round's edges are written to
-    the shared folder, and rounds end when they no longer change, after about
-    the logarithm of the longest path.
+    Edges are written once and counted. Up to ``small`` of them (``SMALL``) are
+    found by one task. Otherwise large-star and small-star steps go by turns;
+    each round's edges are written to the shared folder, and rounds end when they
+    no longer change, after about the logarithm of the longest path.
     """
     now, before = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), what), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if before is None and state[0] <= (SMALL if small is None else small):
+            return _components_here(now)
         if state == before or not state[0]:
             break
         before = state

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from lodeweave.llm import linededup, shared, simhash, substrings
@@ -231,6 +232,87 @@ def test_simhash_links(spark):
     assert len(got) > 50 and {r.doc_id: r.links for r in got} == {r.doc_id: want[r.doc_id] for r in got}
 
 
+class Caught:
+    """Stands for a table: keeps the functions that are to run over it."""
+
+    def __init__(self, rows):
+        self.rows, self.functions = rows, []
+
+    def count(self):
+        return self.rows
+
+    def groupBy(self, *_):
+        return self
+
+    def mapInArrow(self, f, schema):
+        self.functions.append(f)
+        return self
+
+    applyInArrow = mapInArrow
+
+
+def peak_mb(batches):
+    """The most memory while batches are made and dropped; how many rows, and the rows of the batch that has most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    sizes = [b.num_rows for b in batches]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak, sum(sizes), max(sizes)
+
+
+def codes_with_one_block(n):
+    """Different fingerprints that are near each other: they have block 0 in common, and differ in a few of the other bits."""
+    rng = np.random.default_rng(37)
+    flips = np.zeros((n, simhash.SIZE), bool)
+    flips[np.arange(n)[:, None], rng.integers(simhash.BITS, simhash.SIZE, (n, 12))] = True
+    return np.unique(np.packbits(flips, axis=1, bitorder="little").view(np.uint64), axis=0)
+
+
+def test_simhash_memory_of_many_pairs():
+    """A set of codes that are all near each other is compared without all its pairs in memory."""
+    codes = codes_with_one_block(2000)
+    n = len(codes)
+    own = [{"block": 0, "bit": 0, "side": 0}]
+    rows = [{"id": i, "own": own, **{f"c{k}": int(x) for k, x in enumerate(c.view(np.int64))}} for i, c in enumerate(codes)]
+    kind = pa.struct([("id", pa.int64()), ("own", pa.list_(pa.struct([("block", pa.int8()), ("bit", pa.int8()), ("side", pa.int8())]))), *[(f"c{k}", pa.int64()) for k in range(simhash.SIZE // 64)]])
+    batch = pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(kind))], names=["members"])
+    simhash._verified(table := Caught(n), simhash.DISTANCE)
+    got = pa.Table.from_batches(list(table.functions[0](iter([batch])))).to_pydict()
+    assert got == {"id": list(range(n)), "root": [0] * n, "links": [n - 1] * n}
+    assert peak_mb(table.functions[0](iter([batch])))[0] < 120
+
+
+def test_simhash_memory_of_a_large_bucket(monkeypatch):
+    """The pieces of a bucket, of which there are with the square of its members, leave its task part by part, and are all there."""
+    monkeypatch.setattr(simhash, "TILE", 64)
+    codes = codes_with_one_block(20_000)
+    n, width = len(codes), simhash.SIZE // 64
+    simhash._collisions(table := Caught(n))
+    emit, meet = table.functions
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(codes[:, k]).view(np.int64)) for k in range(width))], names=["id", *(f"c{k}" for k in range(width))])
+    own = [b.filter(pa.compute.equal(b["part"], 0)) for b in emit(iter([batch]))]
+    peak, rows, most = peak_mb(meet(iter(own)))
+    pieces = -(-n // 64)
+    assert rows == pieces * (pieces + 1) // 2 and most < rows / 2
+    assert peak < 150
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_simhash_components_here_and_in_rounds(spark, monkeypatch, small):
+    """Few edges are written once and take one task; more take rounds; both give the same."""
+    written = []
+    monkeypatch.setattr(simhash, "settled", lambda df, what, f=simhash.settled: written.append(what) or f(df, what))
+    rng = np.random.default_rng(41)
+    order = rng.permutation(3000)
+    edges = [(int(a), int(b)) for a, b in zip(order[:-1], order[1:])] + [(5000, 5001), (5001, 5000), (5002, 5002), (-7, 6000), (-9, 6000)]
+    got = {r.id: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    assert got == {int(i): 0 for i in order} | {5000: 5000, 5001: 5000, 6000: -9, -7: -9, -9: -9}
+    assert (len(written) == 1) == (small is None)
+    assert simhash.components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
+
+
 def test_simhash_recall_by_distance():
     """Of random fingerprints at a distance, as many meet in a block as the module says; up to 35 bits all do."""
     rng = np.random.default_rng(17)
