@@ -19,6 +19,11 @@ CONFIDENCE = {"method": "resolved", "file": "resolved", "import": "heuristic", "
 RANKS = {"ambiguous": 1, "heuristic": 2, "resolved": 3}
 
 _CALL = ["src_id", "src_file", "src_module", "src_kind", "name", "scoped", "primary"]
+#: What an answer depends on, and a hash of it, which sorts faster.
+_ASKED = ["src_file", "src_module", "name", "scoped", "primary"]
+_QUESTION = ["hash", *_ASKED]
+#: Stands for a null in keys; no path or module has it.
+_NONE = "\0"
 
 
 def _clean(column: str) -> Column:
@@ -32,13 +37,44 @@ def _bounds(prefix: str, condition: Column | None = None) -> list[Column]:
 
 
 def normalized_calls(calls: DataFrame) -> DataFrame:
-    """Return the distinct questions that calls ask; blank names ask none."""
+    """Return the distinct questions that calls ask, partitioned by what their answers depend on; blank names ask none.
+
+    Calls are partitioned before repeats are left out, so both tables that are
+    made of this, and the join of the two, need no other exchange of calls.
+    """
     qualifier = _clean("qualifier")
-    return calls.select(
-        "src_id", "src_file", "src_module", "src_kind", _clean("name").alias("name"),
+    key = lambda c: F.coalesce(F.col(c), F.lit(_NONE)).alias(c)
+    asked = calls.select(
+        "src_id", key("src_file"), key("src_module"), "src_kind", _clean("name").alias("name"),
         (_clean("receiver").isin(*SELF) | qualifier.isin(*SELF)).alias("scoped"),
-        F.trim(F.split_part(qualifier, F.lit("."), F.lit(1))).alias("primary"),
-    ).where("name <> ''").distinct()
+        F.coalesce(F.trim(F.split_part(qualifier, F.lit("."), F.lit(1))), F.lit("")).alias("primary"),  # never null, as Spark must know: else it filters one of both tables first
+    ).where("name <> ''")
+    return asked.withColumn("hash", F.xxhash64(*_ASKED)).repartition(*_QUESTION).distinct()
+
+
+def _tiers(symbols: DataFrame, questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Return questions with the bounds of what each tier knows.
+
+    Least and greatest texts are found by sorting, so symbols are spread first:
+    a small file of very many symbols would be sorted by one task.
+    """
+    known = symbols.select("id", "file", "module", "name", "kind").repartition("id")
+    per_file = known.groupBy("file", "name").agg(*_bounds("method", F.col("kind") == "method"), *_bounds("file"))
+    per_module = known.groupBy("module", "name").agg(*_bounds("module"))
+    overall = known.groupBy("name").agg(*_bounds("global"))
+    own = ["method_lo", "method_hi", "file_lo", "file_hi"]
+    key = F.when(F.col("primary") == "", F.col("name")).otherwise(F.col("primary"))
+    targets = aliases.select(F.col("file").alias("src_file"), "alias", "target_file", "target_name")
+    target = F.coalesce(F.nullif(F.trim("target_name"), F.lit("")), F.col("name"))
+    there = per_file.select(F.col("file").alias("target_file"), F.col("name").alias("target"), F.col("file_lo").alias("there_lo"), F.col("file_hi").alias("there_hi"))
+    return (
+        questions.join(per_file.withColumnRenamed("file", "src_file"), ["src_file", "name"], "left").withColumn("alias", key)
+        .join(targets, ["src_file", "alias"], "left").withColumn("target", target)
+        .join(there, ["target_file", "target"], "left")
+        .groupBy(*_QUESTION, *own).agg(F.min("there_lo").alias("import_lo"), F.max("there_hi").alias("import_hi"))
+        .join(per_module.withColumnRenamed("module", "src_module"), ["src_module", "name"], "left")
+        .join(overall, "name", "left")
+    )
 
 
 def outcomes(symbols: DataFrame, calls: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -46,28 +82,14 @@ def outcomes(symbols: DataFrame, calls: DataFrame, aliases: DataFrame) -> DataFr
 
     A tier that knows the name decides, whether or not it has a single symbol.
     Candidates of a scope are two ids, so tables to join have one row for each
-    name in it; only slim call rows are shuffled. A receiver like ``self`` asks
-    the methods of the file first.
+    name in it. Calls from the same file and module with the same name and
+    qualifier have the same answer, so scopes are joined to one row for each of
+    these, and calls once to the answers. A receiver like ``self`` asks the
+    methods of the file first.
     """
     asked = normalized_calls(calls)
-    per_file = symbols.groupBy("file", "name").agg(*_bounds("method", F.col("kind") == "method"), *_bounds("file"))
-    per_module = symbols.groupBy("module", "name").agg(*_bounds("module"))
-    overall = symbols.groupBy("name").agg(*_bounds("global"))
-    key = F.when(F.col("primary") == "", F.col("name")).otherwise(F.col("primary"))
-    wanted = asked.select("src_file", key.alias("alias"), "name").distinct()
-    targets = (
-        wanted.join(aliases.select(F.col("file").alias("src_file"), "alias", "target_file", "target_name"), ["src_file", "alias"])
-        .select("src_file", "alias", "name", F.col("target_file").alias("t_file"), F.coalesce(F.nullif(F.trim("target_name"), F.lit("")), F.col("name")).alias("t_name"))
-        .join(per_file.select(F.col("file").alias("t_file"), F.col("name").alias("t_name"), "file_lo", "file_hi"), ["t_file", "t_name"])
-        .groupBy("src_file", "alias", "name").agg(F.min("file_lo").alias("import_lo"), F.max("file_hi").alias("import_hi"))
-    )
-    joined = (
-        asked.withColumn("alias", key)
-        .join(per_file.withColumnRenamed("file", "src_file"), ["src_file", "name"], "left")
-        .join(targets, ["src_file", "alias", "name"], "left")
-        .join(per_module.withColumnRenamed("module", "src_module"), ["src_module", "name"], "left")
-        .join(overall, "name", "left")
-    )
+    questions = asked.groupBy(*_QUESTION).agg(F.count(F.lit(1)).alias("calls")).where("calls > 0")  # a count keeps the plan below that of the calls, so it runs once
+    joined = _tiers(symbols, questions, aliases)
     known = {t: F.col(f"{t}_lo").isNotNull() for t in TIERS}
     known["method"] = F.col("scoped") & known["method"]
 
@@ -77,11 +99,13 @@ def outcomes(symbols: DataFrame, calls: DataFrame, aliases: DataFrame) -> DataFr
             out = out.when(known[tier], value(tier))
         return out
 
-    return joined.select(
-        *_CALL,
+    answers = joined.select(
+        *_QUESTION,
         choose(F.lit).alias("tier"),
         choose(lambda t: F.when(F.col(f"{t}_lo") == F.col(f"{t}_hi"), F.col(f"{t}_lo"))).alias("dst"),
-    ).withColumn("confidence", F.when(F.col("dst").isNotNull(), F.when(F.col("tier").isin("method", "file"), "resolved").otherwise("heuristic")))
+    )
+    found = asked.join(answers, _QUESTION, "left").select(*_CALL, "tier", "dst")
+    return found.withColumns({c: F.nullif(c, F.lit(_NONE)) for c in ("src_file", "src_module")}).withColumn("confidence", F.when(F.col("dst").isNotNull(), F.when(F.col("tier").isin("method", "file"), "resolved").otherwise("heuristic")))
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = symbols(spark, sf_dir)
     src = known.select(F.col("id").alias("src_id"), F.col("file").alias("src_file"), F.col("module").alias("src_module"), F.col("kind").alias("src_kind"))
     to = known.select(F.col("id").alias("next"), "name", F.col("module").alias("next_module"))
-    return lines.distinct().join(src, "src_id").join(to, "next").select(
+    return lines.join(to, "next").join(src, "src_id").select(  # repeats are left out when calls are asked
         "src_id", "src_file", "src_module", "src_kind", "name",
         F.when(F.col("l_linestatus") == "F", F.concat("next_module", F.lit(".x"))).otherwise("").alias("qualifier"),
         F.when(F.col("l_returnflag") == "R", "self").otherwise("").alias("receiver"),
@@ -40,7 +40,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return types as import aliases of brands: of other brands' files, half of them of a symbol in it."""
     known = symbols(spark, sf_dir)
-    files = known.groupBy("file").agg(F.min("name").alias("least")).withColumn("i", F.row_number().over(Window.orderBy("file")))  # a row for each brand
+    files = known.repartition("id").groupBy("file").agg(F.min("name").alias("least")).withColumn("i", F.row_number().over(Window.orderBy("file")))  # a row for each brand
     modules = known.select("module").distinct().withColumn("j", F.row_number().over(Window.orderBy("module")))  # a row for each type
     count = files.agg(F.max("i").alias("files"))
     pairs = files.crossJoin(modules).crossJoin(count).where("(i + j) % 3 = 0").select("file", F.col("module").alias("alias"), F.expr("(i + j) % files + 1").alias("i"), F.expr("j % 2 = 0").alias("named"))
