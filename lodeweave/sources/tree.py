@@ -88,12 +88,10 @@ _COLUMNS = ["path", "language", "hash", "content", "imports", "import_aliases",
 
 
 def _parsed_row(path: str, language: str, content: bytes) -> tuple:
-    from dataclasses import asdict
-
     from lodeweave.sources.extract import extract
 
     got = extract(language, path, content)
-    return (path, language, hashlib.sha256(content).hexdigest()[:16], content.decode("utf-8", "replace"), got.imports, got.aliases, [asdict(x) for x in got.symbols], got.issue)
+    return (path, language, hashlib.sha256(content).hexdigest()[:16], content.decode("utf-8", "replace"), got.imports, got.aliases, [vars(x) | {"calls": [vars(c) for c in x.calls]} for x in got.symbols], got.issue)
 
 
 def parsed(spark: SparkSession, root: str, found: list[tuple[str, str, int]]) -> DataFrame:
@@ -116,7 +114,9 @@ def parsed(spark: SparkSession, root: str, found: list[tuple[str, str, int]]) ->
 def parsed_table(sources: DataFrame) -> DataFrame:
     """Return a row of ``FILES`` for each row of ``sources(path, content)`` with a language: for source files that lie in a table.
 
-    Each batch is parsed where it is, without a shuffle. A null content is empty.
+    Parsing takes far longer than reading, and a small file may hold very many
+    rows, so these are spread first, over as many tasks as Spark shuffles to
+    (by their bytes it would take few). A null content is empty.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +125,7 @@ def parsed_table(sources: DataFrame) -> DataFrame:
 
     from lodeweave.functions.paths import language_of
 
-    rows = sources.select("path", language_of(F.col("path")).alias("language"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).where("language is not null")
+    rows = sources.select("path", language_of(F.col("path")).alias("language"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).where("language is not null").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return rows.mapInPandas(run, FILES)
 
 

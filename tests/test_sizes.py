@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators import resolve
 from lodeweave.plans import registry
+from lodeweave.sources import tree
 
 FOLDER = "/root/testdata/sf0.001"
 KEYS = {"part": {"p_partkey": 20000}, "supplier": {"s_suppkey": 1000}, "lineitem": {"l_orderkey": 150000, "l_partkey": 20000, "l_suppkey": 1000}}
@@ -67,3 +68,11 @@ def test_calls_from_nowhere_keep_their_nulls(spark):
     assert got == {("x", None, None, "one", "global", "a", ""), ("x", None, None, "two", "global", None, ""), ("x", None, None, "gone", None, None, ""), ("y", "f", None, "one", "file", "a", "q")}
     more = calls.limit(0).union(spark.createDataFrame([("y", "f", "n", "func", "two", "q", "")], calls.schema))
     assert [(r.tier, r.dst) for r in resolve.outcomes(symbols, more, aliases).withColumn("x", F.lit(0)).collect()] == [("import", None)]
+
+
+def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
+    noise = F.concat_ws("", *(F.sha2(F.concat_ws("/", "id", F.lit(k)).cast("binary"), 256) for k in range(40)))
+    sources = spark.range(2000, numPartitions=1).select(F.concat(F.lit("p/f"), "id", F.lit(".py")).alias("path"), F.concat(F.lit("# "), noise, F.lit("\ndef f():\n    g()\n")).alias("content"))
+    parsed = tree.parsed_table(sources)
+    assert parsed.select("symbols.name").where("name = array('f')").count() == 2000
+    assert parsed.select(F.spark_partition_id().alias("part")).distinct().count() >= 3
