@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.storage import spread
+
 LEVELS = ("low", "medium", "high")
 
 
@@ -17,12 +19,32 @@ def normalized_selector(value: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(value), r"\\", "/"), r"^\./", ""))
 
 
+def _texts(file: Column, symbol: Column, name: Column, line: Column) -> list[Column]:
+    """Return what selectors are compared with: the path, the plain name, and the texts that must be equal."""
+    path, plain = normalized_selector(file), F.lower(F.trim(name))
+    at = F.concat_ws(":", path, line.cast("string"))
+    return [path, plain, F.array(path, normalized_selector(symbol), plain, F.concat_ws(":", path, plain), at, F.concat_ws(":", at, plain))]
+
+
+def _means(want: Column, path: Column, plain: Column, exact: Column) -> Column:
+    return (want == "") | F.array_contains(exact, want) | F.startswith(path, want) | F.endswith(path, want) | F.contains(plain, want)
+
+
 def matches(selector: Column, file: Column, symbol: Column, name: Column, line: Column) -> Column:
     """Tell whether a selector means a symbol: by file, id, name, or these with a line; by the file's head or end; or by a part of the name."""
-    want, path, known, plain = normalized_selector(selector), normalized_selector(file), normalized_selector(symbol), F.lower(F.trim(name))
-    at = F.concat_ws(":", path, line.cast("string"))
-    exact = want.isin(path, known, plain, F.concat_ws(":", path, plain), at, F.concat_ws(":", at, plain))
-    return (want == "") | exact | F.startswith(path, want) | F.endswith(path, want) | F.contains(plain, want)
+    return _means(normalized_selector(selector), *_texts(file, symbol, name, line))
+
+
+def selected(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Return ``(selector, id)`` of the symbols that each selector means.
+
+    Texts are normalized once a symbol and once a selector, not once a pair. Of
+    selectors there are few, which every task gets.
+    """
+    path, plain, exact = _texts(F.col("file"), F.col("id"), F.col("name"), F.col("line"))
+    known = spread(symbols.select("id", "file", "name", "line"), "id").select("id", path.alias("path"), plain.alias("plain"), exact.alias("exact"))
+    asked = selectors.select("selector", normalized_selector(F.col("selector")).alias("want"))
+    return known.crossJoin(F.broadcast(asked)).where(_means(*(F.col(c) for c in ("want", "path", "plain", "exact")))).select("selector", "id")
 
 
 def valid(summary: Column, purpose: Column, effects: Column, confidence: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.paths import EXTENSIONS
 from lodeweave.sources import ignore
+from lodeweave.storage import spread
 
 #: Bytes of source that one task reads, about.
 TASK_BYTES = 16 << 20
@@ -125,8 +126,8 @@ def parsed_table(sources: DataFrame) -> DataFrame:
 
     from lodeweave.functions.paths import language_of
 
-    rows = sources.select("path", language_of(F.col("path")).alias("language"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).where("language is not null").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return rows.mapInPandas(run, FILES)
+    rows = sources.select("path", language_of(F.col("path")).alias("language"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).where("language is not null")
+    return spread(rows, "path").mapInPandas(run, FILES)
 
 
 def normalized(files: DataFrame) -> DataFrame:

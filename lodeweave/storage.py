@@ -76,3 +76,12 @@ class Rounds:
 def settled(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     return Rounds(df.sparkSession, what).settle(df)
+
+
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Return a table dealt over as many tasks as Spark shuffles to.
+
+    For rows that take far longer to work on than to read: a small file may
+    hold very many, and it would be few tasks that work on them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)

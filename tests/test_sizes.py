@@ -76,3 +76,11 @@ def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
     parsed = tree.parsed_table(sources)
     assert parsed.select("symbols.name").where("name = array('f')").count() == 2000
     assert parsed.select(F.spark_partition_id().alias("part")).distinct().count() >= 3
+
+
+def test_selectors_are_compared_with_texts_made_once(spark, copies):
+    got, want = both(spark, copies, "selector_match")
+    assert got == want and len(got) > 100
+    plan = registry.QUERIES["selector_match"](spark, copies[0])._jdf.queryExecution().executedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "BroadcastNestedLoopJoin" in line)
+    assert "regexp_replace" not in plan[join] and any("REPARTITION_BY_NUM" in line for line in plan[join:])
