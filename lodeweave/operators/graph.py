@@ -83,6 +83,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     rank is a constant plus a multiple of the flow, ranks themselves are never
     stored, and a round joins the flow to the edges, which stay partitioned by
     source, and sums by target: of the edges nothing but partial sums moves.
+    Edges from nodes that no edge leads to are summed once, for all rounds.
 
     Nodes and edges are written once and counted. Up to ``small`` rows of both
     (some hundred bytes each) one task makes the same rounds by itself, which
@@ -96,26 +97,40 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
         return _ranked_here(rows if n else rows.limit(0), iterations, damping)
     ids = rounds.settle(rows.where("dst is null").select(F.col("src").alias("id")).distinct())
     n = ids.count()
-    known = rows.where("dst is not null").distinct()
-    degree = known.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = known.join(degree, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    fixed, fed = split_links(rows.where("dst is not null").distinct(), rounds)
+    fed = fed.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     base, flow = 1 / n, None
     for k in range(iterations):
+        share = fixed.select("dst", (F.lit(base) * F.col("weight")).alias("x"))
         if flow is None:
-            share = links.select("dst", (F.lit(base) / F.col("degree")).alias("x"))
+            moved = fed.select("dst", (F.lit(base) / F.col("degree")).alias("x"))
         else:
-            rank = F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))
-            share = links.join(flow.withColumnRenamed("id", "src"), "src", "left").select("dst", (rank / F.col("degree")).alias("x"))
-        flow = rounds.settle(share.groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("flow")))
+            rank = F.lit(base) + damping * F.col("flow")
+            moved = fed.join(flow.withColumnRenamed("id", "src"), "src").select("dst", (rank / F.col("degree")).alias("x"))
+        flow = rounds.settle(share.unionByName(moved).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("flow")))
         base = (1 - damping) / n + damping * (1 - (flow.agg(F.sum("flow")).first()[0] or 0.0)) / n
         if k:
             rounds.forget(1)
-    links.unpersist()
+    fed.unpersist()
     if flow is None:
         return ids.withColumn("rank", F.lit(1 / n))
     return ids.join(flow, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
 
 
+def split_links(known: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """Part distinct ``known(src, dst)`` by whether an edge leads to their source.
+
+    Nodes without edges in all have the same rank in every round, so what flows
+    from them into a node is that rank times a sum of inverse degrees, which is
+    made once: ``(dst, weight)``. Edges from other nodes are ``(src, dst, degree)``.
+    """
+    degree = known.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    reached = known.select(F.col("dst").alias("src")).distinct().withColumn("reached", F.lit(True))
+    links = rounds.settle(known.join(degree.join(reached, "src", "left"), "src").select("src", "dst", "degree", F.coalesce("reached", F.lit(False)).alias("reached")))
+    fixed = rounds.settle(links.where("not reached").groupBy("dst").agg(F.sum(1 / F.col("degree")).alias("weight")))
+    return fixed, links.where("reached").drop("reached")
+
+
 def top_nodes(ranks: DataFrame, n: int = 20) -> DataFrame:
     """Return the ``n`` nodes of greatest rank; ties go to the smaller id."""
     return ranks.orderBy(F.desc("rank"), "id").limit(n)

@@ -43,6 +43,22 @@ def test_pagerank_of_edges_to_unknown_nodes(spark):
     assert a.keys() == b.keys() == {"A", "B"} and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_edges_from_nodes_without_callers_are_summed_once(spark):
+    """Rounds read only edges whose source has an edge in; ranks are the same, also if there are none."""
+    from lodeweave.storage import Rounds
+
+    edges = sorted({(f"o{i}", f"p{i * k % 7}") for i in range(20) for k in (1, 2, 3)})
+    fixed, fed = graph.split_links(table(spark, edges).select("src", "dst"), Rounds(spark, "test"))
+    assert fed.count() == 0 and abs(sum(r.weight for r in fixed.collect()) - 20) < 1e-9
+    fixed, fed = graph.split_links(table(spark, [*edges, ("p1", "p2"), ("p1", "p1")]).select("src", "dst"), Rounds(spark, "test"))
+    assert sorted(tuple(r) for r in fed.collect()) == [("p1", "p1", 2), ("p1", "p2", 2)]
+    nodes = sorted({x for e in edges for x in e})
+    for more in ([], [("p1", "p2"), ("p1", "p1"), ("p2", "o3")]):
+        got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "id string"), table(spark, edges + more), small=0).collect()}
+        want = slow_rank(nodes, edges + more)
+        assert all(abs(got[n] - want[n]) < 1e-12 for n in nodes)
+
+
 def test_pagerank_small(spark):
     ids = spark.createDataFrame([("A",), ("B",)], "id string")
     got = {r.id: r["rank"] for r in graph.pagerank(ids, table(spark, [("A", "B")])).collect()}
